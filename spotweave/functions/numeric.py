@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -32,15 +34,27 @@ def clean_double(col) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def let(value, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value evaluated once per row, however often the body names it.
+
+    Long formulas would otherwise repeat their argument's whole expression at every mention, which makes
+    generated code explode. The row-level rate is lower than generated code, so this is for per-gene rows.
+    """
+    return F.element_at(F.transform(F.array(as_column(value)), body), 1)
+
+
 def erfc(x) -> Column:
-    x = as_column(x)
-    z = F.abs(x)
-    t = 1.0 / (1.0 + 0.5 * z)
-    poly = F.lit(ERFC_COEFFICIENTS[-1])
-    for c in reversed(ERFC_COEFFICIENTS[:-1]):
-        poly = F.lit(c) + t * poly
-    tail = t * F.exp(-z * z + poly)
-    return F.when(x >= 0, tail).otherwise(2.0 - tail)
+    def series(t: Column) -> Column:
+        poly = F.lit(ERFC_COEFFICIENTS[-1])
+        for c in reversed(ERFC_COEFFICIENTS[:-1]):
+            poly = F.lit(c) + t * poly
+        return poly
+
+    def body(v: Column) -> Column:
+        tail = let(1.0 / (1.0 + 0.5 * F.abs(v)), lambda t: t * F.exp(series(t) - v * v))
+        return let(tail, lambda q: F.when(v >= 0, q).otherwise(2.0 - q))
+
+    return let(as_column(x).cast("double"), body)
 
 
 def normal_two_sided(z) -> Column:
@@ -57,8 +71,10 @@ def chi2_upper(x, df) -> Column:
 
     Closed sums: even df is a Poisson tail; odd df starts from erfc and adds half-integer terms.
     """
-    h = as_column(x) / 2.0
-    df = as_column(df).cast("int")
+    return let(as_column(x).cast("double") / 2.0, lambda h: let(as_column(df).cast("int"), lambda d: _chi2_tail(h, d)))
+
+
+def _chi2_tail(h: Column, df: Column) -> Column:
     steps = F.floor((df - 1) / 2).cast("int")
     even = df % 2 == 0
     first = F.when(even, F.exp(-h)).otherwise(erfc(F.sqrt(h)))
@@ -80,12 +96,14 @@ def chi2_upper(x, df) -> Column:
 
 def log_gamma(x) -> Column:
     """ln(gamma(x)) for x >= 0.5 (counts plus one in all uses here)."""
-    x = as_column(x).cast("double") - 1.0
-    total = F.lit(LANCZOS[0])
-    for i, c in enumerate(LANCZOS[1:], start=1):
-        total = total + F.lit(c) / (x + float(i))
-    t = x + 7.5
-    return F.lit(0.5 * float(np.log(2 * np.pi))) + (x + 0.5) * F.log(t) - t + F.log(total)
+
+    def body(v: Column) -> Column:
+        total = F.lit(LANCZOS[0])
+        for i, c in enumerate(LANCZOS[1:], start=1):
+            total = total + F.lit(c) / (v + float(i))
+        return F.lit(0.5 * float(np.log(2 * np.pi))) + (v + 0.5) * F.log(v + 7.5) - (v + 7.5) + F.log(total)
+
+    return let(as_column(x).cast("double") - 1.0, body)
 
 
 def log_choose(n, k) -> Column:
@@ -98,18 +116,23 @@ def hypergeometric_upper(k, marked, drawn, total) -> Column:
 
     The first term comes from log-gamma, each next one from the ratio of neighbours, all in one row.
     """
-    k, marked, drawn, total = (as_column(c).cast("double") for c in (k, marked, drawn, total))
+    counts = F.struct(
+        *[as_column(c).cast("double").alias(n) for n, c in zip("kmdt", (k, marked, drawn, total))]
+    )
+    return let(counts, lambda c: _hypergeometric_tail(c["k"], c["m"], c["d"], c["t"]))
+
+
+def _hypergeometric_tail(k: Column, marked: Column, drawn: Column, total: Column) -> Column:
     first = F.exp(
         log_choose(marked, k) + log_choose(total - marked, drawn - k) - log_choose(total, drawn)
     )
     last = F.least(marked, drawn)
-    start = F.struct(first.alias("term"), first.alias("sum"))
+    start = let(first, lambda f: F.struct(f.alias("term"), f.alias("sum")))
 
     def step(acc, i):
         i = i.cast("double")
         ratio = (marked - i) * (drawn - i) / ((i + 1.0) * (total - marked - drawn + i + 1.0))
-        term = acc["term"] * ratio
-        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+        return let(acc["term"] * ratio, lambda t: F.struct(t.alias("term"), (acc["sum"] + t).alias("sum")))
 
     steps = F.when(
         last > k, F.sequence(k.cast("int"), (last - 1.0).cast("int"))
