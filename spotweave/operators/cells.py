@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spotweave import fixed_values as fv
 from spotweave.functions.checks import in_range, need_columns
 from spotweave.functions.geometry import inside_polygon, points_in_boxes
+from spotweave.functions.numeric import let
 
 
 def filter_cells(cells: DataFrame, min_cell_size: float = fv.MIN_CELL_SIZE) -> DataFrame:
@@ -112,11 +113,16 @@ def cells_in_boundary(points: DataFrame, polygons: DataFrame) -> DataFrame:
 
 
 def _kmers(sequence: str, k: int) -> Column:
-    s = F.col(sequence)
-    return F.when(
-        F.length(s) >= k,
-        F.transform(F.sequence(F.lit(1), F.length(s) - (k - 1)), lambda i: F.substring(s, i, F.lit(k))),
+    """All k-mers of a text. The text is cut into letters once: a substring call per position would walk
+    the text from its start every time, which is quadratic in its length."""
+    joined = lambda letters: F.when(
+        F.size(letters) >= k,
+        F.transform(
+            F.sequence(F.lit(1), F.size(letters) - (k - 1)),
+            lambda i: F.concat(*[F.element_at(letters, i + j) for j in range(k)]),
+        ),
     ).otherwise(F.array().cast("array<string>"))
+    return let(F.split(sequence, ""), joined)
 
 
 def kmer_counts(sequences: DataFrame, k: int = 6) -> DataFrame:

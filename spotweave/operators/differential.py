@@ -13,6 +13,7 @@ from spotweave import fixed_values as fv
 from spotweave.functions.checks import in_range, need_columns, one_of
 from spotweave.functions.numeric import clean_double, normal_two_sided, t_two_sided
 from spotweave.functions.running import running
+from spotweave.session import materialize
 
 
 def label_groups(expr: DataFrame, groups: DataFrame) -> DataFrame:
@@ -187,18 +188,16 @@ def adjust_pvalues(df: DataFrame, method: str = "bh", family: list[str] | None =
     """
     one_of("method", method, ("bh", "bonferroni"))
     family = family or []
+    if method == "bonferroni":
+        counted = df.groupBy(*family).agg(F.count(p).alias("_m"))
+        sized = df.join(counted, family, "left") if family else df.withColumn("_m", counted.scalar())
+        bonferroni = F.when(F.col(p).isNotNull(), F.least(F.col(p) * F.col("_m"), F.lit(1.0)))
+        return sized.select(*df.columns, bonferroni.alias("p_adj"))
+    df = materialize(df, "pvalues")
     tested = df.where(F.col(p).isNotNull()).groupBy(*family, F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
     sizes = tested.groupBy(*family).agg(F.sum("_n").alias("_m"))
-
-    def with_size(frame: DataFrame) -> DataFrame:
-        return frame.join(sizes, family) if family else frame.withColumn("_m", sizes.scalar())
-
-    if method == "bonferroni":
-        sized = df.join(sizes, family, "left") if family else df.withColumn("_m", sizes.scalar())
-        return sized.withColumn("p_adj", F.least(F.col(p) * F.col("_m"), F.lit(1.0)).alias("p_adj")).withColumn(
-            "p_adj", F.when(F.col(p).isNotNull(), F.col("p_adj"))
-        ).drop("_m")
-    ranked = with_size(running(tested, family, "_p", {"_rank": ("sum", F.col("_n"))}))
+    ranked = running(tested, family, "_p", {"_rank": ("sum", F.col("_n"))}, written=True)
+    ranked = ranked.join(sizes, family) if family else ranked.withColumn("_m", sizes.scalar())
     raw = ranked.withColumn("_raw", F.least(F.col("_p") * F.col("_m") / F.col("_rank"), F.lit(1.0)))
     adjusted = running(raw.select(*family, "_p", "_raw"), family, "_p", {"p_adj": ("min", F.col("_raw"))}, descending=True)
     adjusted = adjusted.select(*family, F.col("_p").alias(p), "p_adj")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotweave.functions.checks import in_range
+
 from spotweave.operators.telemetry import TERMINAL
 from spotweave.session import fresh_path
 
