@@ -72,7 +72,7 @@ def read_expression(t):
     path = fresh_path(t.spark, "expression")
     wide = to_wide(t.brand_expr, genes).withColumn("spot_id", F.col("spot_id").cast("string"))
     wide.withColumns({"barcode": F.col("spot_id"), "region": F.lit("r")}).write.json(path)
-    return tables.read_expression(t.spark, path, genes)
+    return tables.read_expression(t.spark, path, genes, lines=True)
 
 
 @query(
@@ -97,7 +97,7 @@ def read_clinical(t):
         F.struct(F.lit("C50.9").alias("icd10"), F.lit("").alias("description"), "stage").alias("diagnosis"),
     )
     sinks.write_report(nested, path)
-    return tables.read_clinical(t.spark, path).select("patient_id", "survival_months", "response", "diagnosis.stage")
+    return tables.read_clinical(t.spark, path, lines=True).select("patient_id", "survival_months", "response", "diagnosis.stage")
 
 
 @query(
@@ -107,7 +107,7 @@ def read_clinical(t):
 def read_image_catalog(t):
     path = fresh_path(t.spark, "images")
     sinks.write_report(t.images, path)
-    return tables.read_image_catalog(t.spark, path)
+    return tables.read_image_catalog(t.spark, path, lines=True)
 
 
 @query(

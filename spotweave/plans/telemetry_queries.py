@@ -63,7 +63,7 @@ def tool_metrics(t):
 
 
 @query(
-    "tool_metrics_sliding", "window_start:t tool:s requests:i error_rate:d6 mean_duration:d6",
+    "tool_metrics_sliding", "window_start:t tool:s requests:i error_rate:d6 mean_duration:d9",
     """with w as (select *, unnest(range(4)) as k from {tool_events}),
             s as (select make_timestamp((floor(epoch_us(ts) / 21600000000)::bigint - k) * 21600000000) as window_start, * from w)
        select window_start, tool, count(*) as requests, avg((not success)::int) as error_rate, avg(duration) as mean_duration
@@ -101,7 +101,7 @@ def dedup_requests(t):
 @query(
     "late_events", "event_id:i arrival:i",
     """select event_id, arrival from (select *, max(epoch_us(ts)) over (order by arrival) as high from {arrivals})
-       where epoch_us(ts) < high - 3600 * 1000000""",
+       where epoch_us(ts) < high - 3600000000""",
 )
 def late_events(t):
     return W.late_events(t.arrivals, "arrival", 3600)

@@ -7,6 +7,7 @@ records, a block at a time into Arrow batches; names, mates and everything else
 from __future__ import annotations
 
 import gzip
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -91,12 +92,12 @@ class FastqReader(DataSourceReader):
     def read(self, split: FastqSplit) -> Iterator[pa.RecordBatch]:
         fs, inner = _filesystem(split.path)
         with fs.open_input_file(inner) as raw:
-            handle = gzip.GzipFile(fileobj=raw) if split.path.endswith(".gz") else raw
+            handle = gzip.GzipFile(fileobj=raw) if split.path.endswith(".gz") else io.BufferedReader(raw, BLOCK_BYTES)
             start, end = split.start, split.end
             if end is not None:
-                start = _next_record(raw, split.start) if split.start else 0
-                end = _next_record(raw, split.end) if split.end < fs.get_file_info(inner).size else split.end
-            if start:
+                start = _next_record(handle, split.start) if split.start else 0
+                end = _next_record(handle, split.end) if split.end < fs.get_file_info(inner).size else split.end
+            if split.end is not None:
                 handle.seek(start)
             yield from _batches(split.path, handle, start, end)
 

@@ -68,27 +68,35 @@ def read_spot_table(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [one(p) for p in csv])
 
 
-def read_expression(spark: SparkSession, path: str | list[str], genes: list[str] | None = None) -> DataFrame:
+def read_expression(
+    spark: SparkSession, path: str | list[str], genes: list[str] | None = None, lines: bool = False
+) -> DataFrame:
     """S2. JSON array of wide spots -> ``spot_id, barcode, region, gene, count``.
 
-    With ``genes`` the schema is stated; otherwise Spark scans the documents once for the gene names.
+    An array is one document and is read by one task per file; JSON ``lines`` split over tasks. With ``genes`` the schema is stated; otherwise Spark scans the documents once for the gene names.
     """
     ids = ["spot_id", "barcode", "region"]
     reader = spark.read
     if genes:
         fields = [f"{i} string" for i in ids] + [f"`{g}` bigint" for g in genes]
         reader = reader.schema(", ".join(fields))
-    wide = reader.json(_paths(path), multiLine=True)
+    wide = reader.json(_paths(path), multiLine=not lines)
     names = genes or [c for c in wide.columns if c not in ids]
     return wide.select(*ids, *[F.col(f"`{g}`").cast("bigint").alias(g) for g in names]).unpivot(
         ids, names, "gene", "count"
     )
 
 
-def read_coordinates(spark: SparkSession, path: str, scale_factors: str | None = None, scale: str = "tissue_hires_scalef") -> DataFrame:
+def read_coordinates(
+    spark: SparkSession,
+    path: str,
+    scale_factors: str | None = None,
+    scale: str = "tissue_hires_scalef",
+    lines: bool = False,
+) -> DataFrame:
     """S3. JSON spots, or a CSV position list whose pixel columns are multiplied by one scale factor."""
     if not path.endswith(".csv"):
-        return spark.read.schema(COORDINATE_SCHEMA).json(path, multiLine=True)
+        return spark.read.schema(COORDINATE_SCHEMA).json(path, multiLine=not lines)
     positions = spark.read.schema(POSITION_SCHEMA).csv(path, header=False).where(F.col("in_tissue").isNotNull())
     factor = F.lit(1.0)
     if scale_factors:
@@ -102,19 +110,19 @@ def read_coordinates(spark: SparkSession, path: str, scale_factors: str | None =
     )
 
 
-def read_clinical(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_clinical(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
     """S5."""
-    return spark.read.schema(CLINICAL_SCHEMA).json(_paths(path), multiLine=True)
+    return spark.read.schema(CLINICAL_SCHEMA).json(_paths(path), multiLine=not lines)
 
 
-def read_ehr(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_ehr(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
     """S5. Records with labs and medications, as ``clinical.patient_records`` takes them."""
-    return spark.read.schema(EHR_SCHEMA).json(_paths(path), multiLine=True)
+    return spark.read.schema(EHR_SCHEMA).json(_paths(path), multiLine=not lines)
 
 
-def read_image_catalog(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_image_catalog(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
     """S6."""
-    return spark.read.schema(IMAGE_SCHEMA).json(_paths(path), multiLine=True)
+    return spark.read.schema(IMAGE_SCHEMA).json(_paths(path), multiLine=not lines)
 
 
 def read_cosmx(spark: SparkSession, expression: str, metadata: str, polygons: str, ids: list[str] = ["fov", "cell_id"]) -> dict[str, DataFrame]:
