@@ -90,10 +90,10 @@ def compare_to_cohort(
     if test == "z_score":
         p = normal_two_sided("z_score")
     elif test == "t_test":
-        scored = scored.withColumn("_t", F.when(spread, shift / (F.col("cohort_std") * F.sqrt(1 + 1 / n))))
+        scored = scored.withColumn("_t", F.when(spread, shift / (F.col("cohort_std") * F.sqrt(1 + F.try_divide(F.lit(1.0), n)))))
         p = F.coalesce(t_two_sided(F.col("_t"), n - 1), F.lit(1.0))
     else:
-        scored = scored.withColumn("_r", (F.col("_u") - n / 2) / F.sqrt(n * (n + 2) / 12))
+        scored = scored.withColumn("_r", F.try_divide(F.col("_u") - n / 2, F.sqrt(n * (n + 2) / 12)))
         p = normal_two_sided("_r")
     z = F.col("z_score")
     return scored.select(

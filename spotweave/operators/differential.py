@@ -139,9 +139,9 @@ def de_negbin(counts: DataFrame, groups: DataFrame) -> DataFrame:
     means = sums.withColumns(
         {
             "base_mean": mu,
-            "mu1": F.col("s1") / n1,
-            "mu2": F.col("s2") / n2,
-            "_var": (F.col("ss") - (n1 + n2) * mu * mu) / (n1 + n2 - 1),
+            "mu1": F.try_divide("s1", n1),
+            "mu2": F.try_divide("s2", n2),
+            "_var": F.try_divide(F.col("ss") - (n1 + n2) * mu * mu, n1 + n2 - 1),
         }
     ).where("base_mean > 0")
     dispersion = F.greatest(
@@ -150,12 +150,13 @@ def de_negbin(counts: DataFrame, groups: DataFrame) -> DataFrame:
     fitted = means.withColumn("dispersion", dispersion)
     pseudo = lambda m: F.greatest(F.col(m), F.lit(0.5))
     error = F.sqrt(
-        (1.0 / pseudo("mu1") + F.col("dispersion")) / n1 + (1.0 / pseudo("mu2") + F.col("dispersion")) / n2
+        F.try_divide(1.0 / pseudo("mu1") + F.col("dispersion"), n1)
+        + F.try_divide(1.0 / pseudo("mu2") + F.col("dispersion"), n2)
     )
     scored = fitted.withColumns(
         {
             "log2_fold_change": F.log2(pseudo("mu1") / pseudo("mu2")),
-            "z_score": F.log(pseudo("mu1") / pseudo("mu2")) / error,
+            "z_score": F.try_divide(F.log(pseudo("mu1") / pseudo("mu2")), error),
         }
     )
     return scored.select(

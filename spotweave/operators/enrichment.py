@@ -42,8 +42,9 @@ def enrich_fisher(
         total = F.lit(background_size)
     drawn = wanted.agg(F.count("*").alias("n")).scalar()
     sized = overlap.withColumns({"genes_analyzed": drawn, "background_size": total})
-    fold = (F.col("genes_overlapping") / F.nullif("genes_analyzed", F.lit(0))) / (
-        F.col("genes_in_pathway") / F.col("background_size")
+    fold = F.try_divide(
+        F.col("genes_overlapping") * F.col("background_size").cast("double"),
+        F.col("genes_analyzed") * F.col("genes_in_pathway"),
     )
     return sized.withColumns(
         {

@@ -213,7 +213,7 @@ def read_composition(reads: DataFrame) -> DataFrame:
     return reads.groupBy("mate").agg(
         F.count("*").alias("reads"),
         F.avg(F.length("sequence")).alias("mean_length"),
-        (F.lit(100.0) * F.sum(gc) / F.sum(F.length("sequence"))).alias("gc_percent"),
+        F.try_divide(F.lit(100.0) * F.sum(gc), F.sum(F.length("sequence"))).alias("gc_percent"),
         F.avg(mean_quality()).alias("mean_quality"),
     )
 

@@ -118,7 +118,7 @@ def hazard_ratio(surv: DataFrame, group: str = "grp", first: str = "high", secon
         F.col("observed2") / F.nullif("expected2", zero), zero
     )
     sums = log_rank_sums(surv, group, first, second).withColumn("hazard_ratio", ratio)
-    width = 1.96 * F.sqrt(1 / F.col("expected1") + 1 / F.col("expected2"))
+    width = 1.96 * F.sqrt(F.try_divide(F.lit(1.0), F.col("expected1")) + F.try_divide(F.lit(1.0), F.col("expected2")))
     return sums.select(
         "hazard_ratio",
         F.exp(F.log("hazard_ratio") - width).alias("ci_low"),
