@@ -116,7 +116,7 @@ def size_factors(counts: DataFrame) -> DataFrame:
 def de_negbin(counts: DataFrame, groups: DataFrame) -> DataFrame:
     """D3. Negative-binomial Wald test on counts scaled by median-of-ratios size factors.
 
-    Simplified: per-gene moment dispersion, no shrinkage towards a trend. ``counts`` has one row per
+    Simplified: per-gene moment dispersion within the groups, no shrinkage towards a trend. ``counts`` has one row per
     (sample_id, gene), ``groups`` is ``sample_id, grp``; samples without a row for a gene count as zero.
     """
     factors = size_factors(counts)
@@ -141,11 +141,13 @@ def de_negbin(counts: DataFrame, groups: DataFrame) -> DataFrame:
             "base_mean": mu,
             "mu1": F.try_divide("s1", n1),
             "mu2": F.try_divide("s2", n2),
-            "_var": F.try_divide(F.col("ss") - (n1 + n2) * mu * mu, n1 + n2 - 1),
+            "_var": F.try_divide(
+                F.col("ss") - F.col("s1") * F.try_divide("s1", n1) - F.col("s2") * F.try_divide("s2", n2), n1 + n2 - 2
+            ),
         }
     ).where("base_mean > 0")
     dispersion = F.greatest(
-        (F.col("_var") - F.col("base_mean") * inv) / (F.col("base_mean") * F.col("base_mean")), F.lit(1e-8)
+        F.try_divide(F.col("_var") - F.col("base_mean") * inv, F.col("base_mean") * F.col("base_mean")), F.lit(1e-8)
     )
     fitted = means.withColumn("dispersion", dispersion)
     pseudo = lambda m: F.greatest(F.col(m), F.lit(0.5))

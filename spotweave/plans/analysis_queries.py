@@ -73,7 +73,7 @@ def de_ttest_p(t):
                      coalesce(sum(count / s) filter (where grp = 2), 0) as s2, sum((count / s) * (count / s)) as ss
               from c join l using (sample_id) group by gene),
         m as (select gene, n1, n2, (s1 + s2) / (n1 + n2) as base_mean, s1 / n1 as mu1, s2 / n2 as mu2,
-                     (ss - (n1 + n2) * ((s1 + s2) / (n1 + n2)) * ((s1 + s2) / (n1 + n2))) / (n1 + n2 - 1) as var, inv
+                     (ss - s1 * s1 / n1 - s2 * s2 / n2) / (n1 + n2 - 2) as var, inv
               from s cross join tot),
         d as (select *, greatest((var - base_mean * inv) / (base_mean * base_mean), 1e-8) as dispersion from m),
         z as (select *, log2(mu1 / mu2) as log2_fold_change, ln(mu1 / mu2)
