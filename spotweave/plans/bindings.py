@@ -207,6 +207,12 @@ BINDINGS: dict[str, str | tuple[str, str]] = {
         from {events}""",
 }
 
+# bindings whose per-row work is heavy, with the table and the columns they read
+SPREAD = {
+    "reads": ("lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]),
+    "sequences": ("documents", ["doc_id", "text"]),
+}
+
 _REFERENCE = re.compile(r"\{(\w+)\}")
 
 
@@ -214,6 +220,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Deal rows out to all cores when the input has fewer files than the session has cores, as a file with
+    one row group is one task. Data in many files passes through without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    pruned = df.select(*columns)
+    return pruned if len(df.inputFiles()) >= cores else pruned.repartition(cores, *columns[:3])
+
+
 def bind(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table or binding as a Spark DataFrame. Sessions are pinned to UTC, as the tables carry no zone."""
     if name in TABLES:
@@ -222,7 +236,11 @@ def bind(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     entry = BINDINGS[name]
     text = entry if isinstance(entry, str) else entry[0]
-    return spark.sql(text, **{dep: bind(spark, sf_dir, dep) for dep in dict.fromkeys(_REFERENCE.findall(text))})
+    frames = {dep: bind(spark, sf_dir, dep) for dep in dict.fromkeys(_REFERENCE.findall(text))}
+    if name in SPREAD:
+        table, columns = SPREAD[name]
+        frames[table] = spread(frames[table], columns)
+    return spark.sql(text, **frames)
 
 
 def _duck(name: str) -> str:
