@@ -39,13 +39,22 @@ def fetch_expression(
     return gene_filter(rows, genes).select("sample_id", "gene", "value")
 
 
-def expression_arrays(slice_: DataFrame) -> DataFrame:
-    """T2. Gene -> values ordered by sample; one row holds one value per sample of the slice, so this is for
-    the edge of a program, not for further computing."""
-    return slice_.groupBy("gene").agg(
+def expression_arrays(slice_: DataFrame, max_length: int = 10_000) -> DataFrame:
+    """T2. Gene -> values ordered by sample, for the edge of a program.
+
+    A cohort of more than ``max_length`` samples is dealt by sample hash into chunks of about that length,
+    the same samples in the same chunk for every gene; up to that size there is the one chunk 0.
+    """
+    in_range("max_length", max_length, 1)
+    samples = slice_.agg(F.approx_count_distinct("sample_id").alias("n")).scalar()
+    # the approximate count is good to a few percent, hence the allowance before a second chunk starts
+    chunks = F.greatest(F.ceil((samples / max_length) - 0.2), F.lit(1))
+    numbered = slice_.withColumn("_c", chunks).withColumn("chunk", F.pmod(F.xxhash64("sample_id"), F.col("_c")))
+    return numbered.groupBy("gene", "chunk").agg(
         F.sort_array(F.collect_list(F.struct("sample_id", "value"))).alias("_e")
     ).select(
         "gene",
+        "chunk",
         F.transform("_e", lambda e: e["sample_id"]).alias("sample_ids"),
         F.transform("_e", lambda e: e["value"]).alias("values"),
     )

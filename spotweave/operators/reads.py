@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from spotweave import fixed_values as fv
 from spotweave.functions.checks import in_range
 from spotweave.functions.numeric import as_column
+from spotweave.functions.running import number_buckets
 
 
 def quality_sum(quality="quality") -> Column:
@@ -46,9 +47,25 @@ def read_format_errors(reads: DataFrame) -> DataFrame:
 
 
 def sample_reads(reads: DataFrame, n: int = fv.SAMPLE_READS) -> DataFrame:
-    """R3. First ``n`` reads of each file in file order; map tasks keep n rows per file before the shuffle."""
+    """R3. First ``n`` reads of each file in file order, however large a file is.
+
+    Reads are counted per position bucket (monotone in ``pos``, a bounded number per file); only buckets
+    that begin within the first n reads are ranked, so a task sees little more than n reads of a file.
+    """
+    in_range("n", n, 1)
+    coarse, fine = number_buckets(F.col("pos").cast("double"))
+    placed = reads.withColumns({"_b1": coarse, "_b2": fine})
+    before = Window.partitionBy("file").orderBy("_b1", "_b2").rowsBetween(Window.unboundedPreceding, -1)
+    needed = (
+        placed.groupBy("file", "_b1", "_b2")
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .where(F.col("_before") < n)
+        .select("file", "_b1", "_b2")
+    )
     order = Window.partitionBy("file").orderBy("pos")
-    return reads.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n).drop("_rank")
+    first = placed.join(needed, ["file", "_b1", "_b2"], "left_semi").withColumn("_rank", F.row_number().over(order))
+    return first.where(F.col("_rank") <= n).select(*reads.columns)
 
 
 def validate_reads(reads: DataFrame, min_quality: float = fv.MIN_BASE_QUALITY, sample: int | None = None) -> DataFrame:

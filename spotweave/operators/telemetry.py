@@ -50,9 +50,15 @@ def pair_calls(calls: DataFrame, results: DataFrame, within_seconds: int = 3600)
     late = (F.col("result_ts") < F.col("call_ts")) | (
         F.unix_micros("result_ts") - F.unix_micros("call_ts") > within_seconds * 1_000_000
     )
-    joined = first_calls.join(answers, "request_id", "left")
-    good = F.when(~late, F.struct("result_ts", "success"))
-    return joined.groupBy("request_id", "tool", "call_ts").agg(F.min(good).alias("r")).select(
+    # an inner join first: Spark can split a request id with a flood of results there, and the first answers
+    # are one row per request when they are put beside all calls
+    firsts = (
+        answers.join(first_calls.select("request_id", "call_ts"), "request_id")
+        .where(~late)
+        .groupBy("request_id")
+        .agg(F.min(F.struct("result_ts", "success")).alias("r"))
+    )
+    return first_calls.join(firsts, "request_id", "left").select(
         "request_id", "tool", "call_ts",
         ((F.unix_micros("r.result_ts") - F.unix_micros("call_ts")) / 1e6).alias("duration_seconds"),
         "r.success",

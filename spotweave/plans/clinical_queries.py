@@ -213,18 +213,17 @@ def subtype_counts(t):
 
 
 def _patients(t):
-    """Nested patient records: one diagnosis per order, two labs from the balance, one medication per nation."""
-    diagnoses = t.orders.groupBy(F.col("o_custkey").alias("patient_id")).agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct(
-                    F.col("o_orderdate").cast("date").alias("date"),
-                    F.col("o_orderkey").alias("order"),
-                    F.concat(F.substring("o_orderpriority", 1, 1), F.lit("00."), F.substring("o_orderpriority", 3, 1)).alias("icd10"),
-                    F.col("o_orderstatus").alias("stage"),
-                )
-            )
-        ).alias("diagnoses")
+    """Nested patient records: diagnoses from order priority and status, labs from the balance and segment.
+
+    First and last order date per (patient, code, stage) come before the nesting, so a list holds at most
+    one entry per code and stage, whatever the number of orders.
+    """
+    code = F.concat(F.substring("o_orderpriority", 1, 1), F.lit("00."), F.substring("o_orderpriority", 3, 1))
+    diagnoses = (
+        t.orders.groupBy(F.col("o_custkey").alias("patient_id"), code.alias("icd10"), F.col("o_orderstatus").alias("stage"))
+        .agg(F.min("o_orderdate").cast("date").alias("date"))
+        .groupBy("patient_id")
+        .agg(F.sort_array(F.collect_list(F.struct("icd10", "stage", "date"))).alias("diagnoses"))
     )
     lab = lambda v, unit, span: F.struct(v.cast("double").alias("value"), F.lit(unit).alias("unit"), F.lit(span).alias("ref_range"))
     people = t.clinical.join(t.customer, F.col("patient_id") == F.col("c_custkey")).select(
@@ -247,7 +246,8 @@ def _patients(t):
 @query(
     "patient_records", "patient_id:i diagnoses:i labs:i medications:i",
     """select c_custkey as patient_id, coalesce(n, 0) as diagnoses, 2 as labs, 0 as medications
-       from {customer} left join (select o_custkey, count(*) as n from {orders} group by o_custkey) o on c_custkey = o_custkey
+       from {customer} left join (select o_custkey, count(distinct (o_orderpriority, o_orderstatus)) as n
+                                  from {orders} group by o_custkey) o on c_custkey = o_custkey
        where c_acctbal < 0""",
 )
 def patient_records(t):
