@@ -121,6 +121,7 @@ def de_negbin(counts: DataFrame, groups: DataFrame) -> DataFrame:
     """
     factors = size_factors(counts)
     labelled = factors.join(groups.select("sample_id", "grp").where("grp in (1, 2)"), "sample_id")
+    labelled = materialize(labelled, "size-factors")  # one row per sample
     totals = labelled.agg(
         F.struct(
             F.count_if(F.col("grp") == 1).cast("double").alias("n1"),
