@@ -134,7 +134,7 @@ def brute(points, k):
     return out
 
 
-@pytest.mark.parametrize("shape", ["uniform", "clusters", "one_place", "line", "few"])
+@pytest.mark.parametrize("shape", ["uniform", "clusters", "speck", "outlier", "one_place", "line", "few"])
 def test_neighbours_match_brute_force(spark, shape):
     rng = random.Random(11)
     k = 4
@@ -143,6 +143,11 @@ def test_neighbours_match_brute_force(spark, shape):
     elif shape == "clusters":  # a third of all points in a speck, the rest far and wide
         points = [(50 + rng.random() * 1e-3, 50 + rng.random() * 1e-3) for _ in range(90)]
         points += [(rng.random() * 1e4, rng.random() * 1e4) for _ in range(160)]
+    elif shape == "speck":  # far denser than the grid of the first round, with sparse points right beside it
+        points = [(50 + rng.random() * 1e-8, 50 + rng.random() * 1e-8) for _ in range(120)]
+        points += [(50 + rng.random() * 10 ** -rng.randrange(8), 50.0) for _ in range(80)] + [(0.0, 0.0), (100.0, 100.0)]
+    elif shape == "outlier":  # everything in one cell but one point
+        points = [(rng.random(), rng.random()) for _ in range(200)] + [(1e9, 1e9)]
     elif shape == "one_place":  # a third of all points at one location
         points = [(3.0, 3.0)] * 90 + [(float(rng.randrange(12)), float(rng.randrange(12))) for _ in range(160)]
     elif shape == "line":
@@ -179,6 +184,20 @@ def test_neighbours_of_other_points(spark):
     assert {(r.id, r.neighbour_id, r["rank"]) for r in got} == want
 
 
+def test_neighbours_far_from_all_points(spark):
+    """Every query works at a coarse level, as no point is near; crowds are opened cell by cell."""
+    rng = random.Random(16)
+    a = [(i, rng.random(), rng.random()) for i in range(60)]
+    b = [(i, 900 + rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(400)]
+    schema = "id long, x double, y double"
+    got = A.nearest_neighbours(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), 3).collect()
+    want = set()
+    for i, x, y in a:
+        near = sorted(((px - x) ** 2 + (py - y) ** 2, j) for j, px, py in b)[:3]
+        want |= {(i, j, r + 1) for r, (_, j) in enumerate(near)}
+    assert {(r.id, r.neighbour_id, r["rank"]) for r in got} == want
+
+
 def lattice(spark, value):
     """Rook weights on a 4x4 grid."""
     ids = [(i, j) for i in range(4) for j in range(4)]
