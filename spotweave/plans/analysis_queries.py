@@ -6,7 +6,7 @@ from spotweave.operators import batch_effects as B
 from spotweave.operators import differential as D
 from spotweave.operators import enrichment as P
 from spotweave.operators import expression as E
-from spotweave.plans.registry import normal_p_sql, query
+from spotweave.plans.registry import normal_p_sql, query, t_p_sql
 from spotweave.session import materialize
 
 _WILCOXON = """
@@ -55,7 +55,10 @@ def de_ttest(t):
     return D.de_ttest(t.de_obs)
 
 
-@query("de_ttest_p", "gene:i t_statistic:d6 df:d4 p_value:d8")
+@query(
+    "de_ttest_p", "gene:i t_statistic:d6 df:d4 p_value:d6",
+    f"select *, {t_p_sql('t_statistic', 'df')} as p_value from ({_TTEST}) q",
+)
 def de_ttest_p(t):
     return D.de_ttest(t.de_obs)
 

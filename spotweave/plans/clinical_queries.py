@@ -7,7 +7,7 @@ from spotweave.operators import catalogs as G
 from spotweave.operators import clinical as C
 from spotweave.operators import cohort as T
 from spotweave.operators import survival as S
-from spotweave.plans.registry import erfc_sql, normal_p_sql, query
+from spotweave.plans.registry import erfc_sql, normal_p_sql, query, t_p_sql
 
 _CATALOG = """
     catalog as (select cohort as code, count(*) filter (where tissue_type = 'primary_tumor') as primary_tumor_samples,
@@ -84,7 +84,11 @@ def compare_wilcoxon(t):
     return T.compare_to_cohort(t.sample_vector, t.cohort_expr, test="wilcoxon")
 
 
-@query("compare_t_test", "gene:s z_score:d6 p_value:d6")
+@query(
+    "compare_t_test", "gene:s z_score:d6 p_value:d6",
+    f"""with {_COMPARED}, s as (select *, (sample_expression - cohort_mean) / (cohort_std * sqrt(1 + 1 / n)) as t, n - 1 as nu from cmp)
+        select gene, z_score, {t_p_sql('t', 'nu')} as p_value from s""",
+)
 def compare_t_test(t):
     return T.compare_to_cohort(t.sample_vector, t.cohort_expr, test="t_test")
 

@@ -88,3 +88,15 @@ def erfc_sql(x: str) -> str:
 
 def normal_p_sql(z: str) -> str:
     return erfc_sql(f"abs({z})/sqrt(2.0::double)")
+
+
+def t_p_sql(t: str, df: str, steps: int = 2000) -> str:
+    """Two-sided p of Student's t as DuckDB text: Simpson's rule over the density from 0 to |t|."""
+    h = f"(abs({t}) / {steps})"
+    weight = f"(case when i = 0 or i = {steps} then 1.0 when i % 2 = 1 then 4.0 else 2.0 end)"
+    area = (
+        f"list_sum(list_transform(range(0, {steps + 1}), lambda i: {weight} * "
+        f"pow(1.0 + ({h} * i) * ({h} * i) / ({df}), -(({df}) + 1.0) / 2.0))) * {h} / 3.0"
+    )
+    scale = f"exp(lgamma((({df}) + 1.0) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(pi() * ({df}))"
+    return f"(1.0 - 2.0 * ({scale}) * ({area}))"
