@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spotweave import fixed_values as fv
 from spotweave.functions.checks import in_range, need_columns, one_of
 from spotweave.functions.numeric import clean_double, normal_two_sided, t_two_sided
+from spotweave.operators.expression import normalize
 from spotweave.operators.qc import gene_filter
 
 
@@ -31,11 +32,22 @@ def query_cohorts(
 
 
 def fetch_expression(
-    cohort_expr: DataFrame, cohort: str, genes: DataFrame | list[str], tissue_type: str = "primary_tumor"
+    cohort_expr: DataFrame,
+    cohort: str,
+    genes: DataFrame | list[str],
+    tissue_type: str = "primary_tumor",
+    normalization: str = "counts",
+    gene_lengths: DataFrame | None = None,
 ) -> DataFrame:
-    """T2. Long slice ``sample_id, gene, value`` of one cohort and tissue; filters reach the scan.
-    Normalisation is ``expression.normalize`` on counts."""
+    """T2. Long slice ``sample_id, gene, value`` of one cohort and tissue; the filters reach the scan.
+
+    TPM and FPKM take ``gene_lengths`` and are computed over all genes of a sample before the gene filter.
+    """
+    one_of("normalization", normalization, fv.NORMALIZATIONS)
     rows = cohort_expr.where((F.col("cohort") == cohort) & (F.col("tissue_type") == tissue_type))
+    if normalization != "counts":
+        counts = rows.select(F.col("sample_id").alias("spot_id"), "gene", F.col("value").alias("count"))
+        rows = normalize(counts, normalization, gene_lengths).withColumnRenamed("spot_id", "sample_id")
     return gene_filter(rows, genes).select("sample_id", "gene", "value")
 
 

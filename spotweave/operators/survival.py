@@ -124,3 +124,18 @@ def hazard_ratio(surv: DataFrame, group: str = "grp", first: str = "high", secon
         F.exp(F.log("hazard_ratio") - width).alias("ci_low"),
         F.exp(F.log("hazard_ratio") + width).alias("ci_high"),
     )
+
+
+def survival_report(surv: DataFrame, months: int = 60, group: str = "grp") -> DataFrame:
+    """T6-T10 together, one row per group: median, survival at a month, sizes, and the two-group test.
+
+    The test columns are NULL where only one group exists.
+    """
+    curve = kaplan_meier(surv, group)
+    rows = median_survival(curve).join(survival_at(curve, months), "grp")
+    two = rows.agg((F.count("*") > 1).alias("t")).scalar()
+    p = log_rank(surv, group).select("p_value").scalar()
+    ratio = hazard_ratio(surv, group).select("hazard_ratio").scalar()
+    tested = rows.withColumns({"_two": two, "_p": p, "_h": ratio})
+    only = lambda c: F.when(F.col("_two"), F.col(c))
+    return tested.select(*rows.columns, only("_p").alias("log_rank_p_value"), only("_h").alias("hazard_ratio"))

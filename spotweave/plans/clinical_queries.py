@@ -41,6 +41,18 @@ def fetch_expression(t):
     return T.fetch_expression(t.cohort_expr, "NATION_3", ["Brand#1", "Brand#2", "Brand#3"])
 
 
+@query(
+    "fetch_expression_tpm", "sample_id:i gene:s value:d4",
+    """with len as (select p_brand as gene, sum(p_size) as length from {part} group by p_brand),
+            r as (select sample_id, gene, (value / length) / sum(value / length) over (partition by sample_id) * 1e6 as value
+                  from {cohort_expr} join len using (gene) where cohort = 'NATION_3' and tissue_type = 'primary_tumor')
+       select * from r where gene in ('Brand#1', 'Brand#2')""",
+)
+def fetch_expression_tpm(t):
+    lengths = t.part.groupBy(F.col("p_brand").alias("gene")).agg(F.sum("p_size").alias("length"))
+    return T.fetch_expression(t.cohort_expr, "NATION_3", ["Brand#1", "Brand#2"], normalization="TPM", gene_lengths=lengths)
+
+
 @query(
     "expression_arrays", "gene:s sample_ids:l values:s",
     """select gene, list(sample_id order by sample_id) as sample_ids,
@@ -169,6 +181,20 @@ def log_rank(t):
     return S.log_rank(_grouped(t))
 
 
+@query(
+    "survival_report",
+    "grp:s median_survival_months:i num_samples:i num_events:i survival_rate:d6 log_rank_p_value:d6 hazard_ratio:d6",
+    f"""select k.*, l.p_value as log_rank_p_value, (observed1 / expected1) / (observed2 / expected2) as hazard_ratio
+        from (with {_KM} select grp, min(months) filter (where survival <= 0.5) as median_survival_months,
+                     max(at_risk) as num_samples, sum(events) as num_events,
+                     arg_max(survival, months) filter (where months <= 60) as survival_rate from km group by grp) k
+        cross join (with {_LOGRANK}, c as (select *, (observed1 - expected1) * (observed1 - expected1) / variance as chi from lr)
+                    select *, {erfc_sql('sqrt(chi / 2)')} as p_value from c) l""",
+)
+def survival_report(t):
+    return S.survival_report(_grouped(t), 60)
+
+
 @query(
     "hazard_ratio", "hazard_ratio:d6 ci_low:d6 ci_high:d6",
     f"""with {_LOGRANK}, h as (select (observed1 / expected1) / (observed2 / expected2) as hazard_ratio,

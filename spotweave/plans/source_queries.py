@@ -82,7 +82,7 @@ def read_expression(t):
 def read_coordinates(t):
     path, factors = fresh_path(t.spark, "positions") + ".csv", fresh_path(t.spark, "factors")
     t.spots.select("barcode", F.lit(1), F.lit(0), F.lit(0), "y", "x").write.csv(path)
-    t.region.limit(1).select(F.lit('{"tissue_hires_scalef": 0.5}').alias("value")).write.text(factors)
+    t.spark.range(1).select(F.lit('{"tissue_hires_scalef": 0.5}').alias("value")).write.text(factors)
     return tables.read_coordinates(t.spark, path, factors)
 
 

@@ -69,6 +69,11 @@ def test_log_rank_and_hazard(spark):
     assert got.p_value == pytest.approx(math.erfc(math.sqrt(got.chi_square / 2)), rel=1e-6)
     h = S.hazard_ratio(frame).first()
     assert h.hazard_ratio == pytest.approx((3 / e1) / (2 / (5 - e1))) and h.ci_low < h.hazard_ratio < h.ci_high
+    report = {r.grp: r for r in S.survival_report(frame, 3).collect()}
+    assert report["high"].survival_rate == 0.0 and report["low"].median_survival_months == 5
+    assert report["low"].log_rank_p_value == pytest.approx(got.p_value) and report["low"].hazard_ratio == pytest.approx(h.hazard_ratio)
+    alone = S.survival_report(frame.where("grp = 'high'")).first()
+    assert alone.num_events == 3 and alone.log_rank_p_value is None
     lonely = S.log_rank(frame.where("grp = 'high'")).first()
     assert lonely.chi_square == 0.0
 
