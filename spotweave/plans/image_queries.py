@@ -85,7 +85,7 @@ def image_intensity(t):
 
 
 @query(
-    "image_texture", "roi_id:i pairs:i contrast:d6 energy:d6 homogeneity:d6 correlation:d5",
+    "image_texture", "roi_id:i pairs:i contrast:d6 energy:d6 homogeneity:d6 correlation:d8",
     f"""with {_INSIDE},
         g as (select roi_id, x, greatest(least(floor((intensity + 0.6) / (0.6 - (-0.6)) * 8), 7), 0) as g from inside),
         pr as (select a.roi_id, a.g as i, b.g as j from g a join g b on a.roi_id = b.roi_id and b.x = a.x + 1),

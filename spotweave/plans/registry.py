@@ -53,7 +53,7 @@ def _duck_cast(name: str, kind: str) -> str:
         return f"round(cast({name} as double), {kind[1:]}) + 0.0 as {name}"
     return {
         "i": f"cast({name} as bigint)", "s": f"cast({name} as varchar)", "b": f"cast({name} as boolean)",
-        "t": f"epoch_us({name})", "l": f"array_to_string({name}, ',')",
+        "t": f"epoch_us({name})", "l": f"coalesce(array_to_string({name}, ','), '')",
     }[kind] + f" as {name}"
 
 
