@@ -5,7 +5,6 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from spotweave.functions import running as running_module
 from spotweave.operators import cells as K
