@@ -41,9 +41,15 @@ def hash_share(*columns: Column | str) -> Column:
 
 
 def prefix_sums(
-    df: DataFrame, keys: list[str], levels: list[str], order: list[str], weight: str | None = None, out: str = "before"
+    df: DataFrame,
+    keys: list[str],
+    levels: list[str],
+    order: list[str],
+    weight: str | None = None,
+    out: str = "before",
+    total: str | None = None,
 ) -> DataFrame:
-    """Add the sum of ``weight`` (or the number) of a key's rows that come before each row.
+    """Add the sum of ``weight`` (or the number) of a key's rows that come before each row, and of all (``total``).
 
     ``levels`` are nested bucket columns, non-decreasing along the order: rows are windowed inside the
     deepest bucket only, totals of buckets inside the next, and the offsets are joined back. A key that
@@ -62,10 +68,12 @@ def prefix_sums(
         here = upper.select(
             *by, levels[depth - 1], sum_before(F.col("_total"), by, [levels[depth - 1]]).alias(f"_o{depth}")
         )
+        if depth == 1 and total:
+            here = here.join(upper.groupBy(*by).agg(F.sum("_total").alias(total)), by)
         offsets = here if offsets is None else offsets.join(here, [*by, levels[depth - 1]])
         upper = upper.groupBy(*by).agg(F.sum("_total").alias("_total"))
     total_offset = sum((F.col(f"_o{d}") for d in range(1, len(levels) + 1)), F.lit(0))
-    offsets = offsets.select(*deepest, total_offset.alias("_offset"))
+    offsets = offsets.select(*deepest, total_offset.alias("_offset"), *([total] if total else []))
     rows = df.withColumn("_inside", sum_before(amount, deepest, order))
     return (
         rows.join(offsets, deepest)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotweave.llm.common import n_words, table
+from spotweave.llm.common import n_bytes, n_words, table
 from spotweave.session import materialize
 
 QUERIES: dict = {}
@@ -64,3 +64,28 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_target").alias("target"),
         (F.col("_copies") * F.col("_size")).alias("taken"),
     )
+
+
+@query()
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in eight shards of equal row counts, equal texts together."""
+    from spotweave.llm.sharding import shard
+
+    docs = table(spark, sf_dir, "documents")
+    text = F.col("text")
+    slim = docs.select(
+        "doc_id",
+        (n_bytes(text) + 1).alias("size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+        F.sha2(text.cast("binary"), 256).alias("same_text"),
+    )
+    out = shard(materialize(slim, "op8-slim"), F.col("same_text"))
+    return out.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        F.col("_shard").alias("shard"),
+        F.col("_slot").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
