@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spotweave.llm.common import n_bytes, n_words, table
-from spotweave.session import materialize
+from spotweave.session import fresh_path, materialize
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,26 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_slot").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+WARC_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as body from pages),
+d as (select page_id, octet_length(body)::bigint as payload_bytes, sha256(body) as payload_digest from p),
+f as (select payload_digest, min(page_id) as first from d where payload_bytes >= 100 group by 1)
+select d.page_id, d.payload_bytes, d.payload_digest,
+       case when f.first is null or f.first = d.page_id then 'response' else 'revisit' end as record_type,
+       case when f.first <> d.page_id then f.first end as refers_to
+from d left join f on d.payload_digest = f.payload_digest and d.payload_bytes >= 100
+"""
+
+
+@query(WARC_SQL)
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages as WARC records, then read every record back by its byte range."""
+    from spotweave.llm.warc import read_records, write_archives
+
+    folder = fresh_path(spark, "op1-warc")
+    index = write_archives(table(spark, sf_dir, "pages"), folder)
+    return read_records(index, folder, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
