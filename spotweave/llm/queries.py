@@ -112,3 +112,24 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(index, folder, with_payload=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """Ids of every text and the bytes they decode to, as digests."""
+    import public_tokenizers
+
+    from spotweave.llm.byte_bpe import RANKS_FILE, decode, encode, read_ranks
+
+    ranks = read_ranks(public_tokenizers.path(RANKS_FILE))
+    return decode(encode(docs, ranks), ranks).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
+@query()
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every text and decode the ids."""
+    return bpe_digests(table(spark, sf_dir, "documents"))
