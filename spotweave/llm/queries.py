@@ -133,3 +133,14 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text and decode the ids."""
     return bpe_digests(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text."""
+    import public_tokenizers
+
+    from spotweave.llm.token_count import VOCABULARY_FILE, count_tokens, read_vocabulary
+
+    vocabulary = read_vocabulary(public_tokenizers.path(VOCABULARY_FILE))
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary).withColumn("over_limit", F.col("n_tokens") > 512)
