@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,11 +26,25 @@ def local_session(app: str = "spotweave", cores: str | int = "*", shuffle_partit
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application; on one machine too, as workers start anywhere."""
+    context = spark.sparkContext
+    if getattr(context, "_spotweave_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spotweave-")) / "spotweave.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._spotweave_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, one machine) a local temporary folder is chosen and used
-    as the checkpoint folder of the session.
+    Only a session whose master is local may go without that setting: it gets a temporary folder, which is
+    then the checkpoint folder of the session. On a cluster such a folder would be another one on each machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -36,6 +52,8 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spotweave-"))
     return spark.sparkContext.getCheckpointDir()
 
