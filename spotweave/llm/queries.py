@@ -144,3 +144,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vocabulary = read_vocabulary(public_tokenizers.path(VOCABULARY_FILE))
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary).withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query()
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, learned from the labels that are not held out."""
+    from spotweave.llm.toxicity import THRESHOLD, fit_from_labels, held_out, score
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_from_labels(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model, carried=["doc_id"]).select(
+        "doc_id",
+        held_out().alias("held_out"),
+        F.col("_score").alias("score"),
+        (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"),
+    )
