@@ -159,3 +159,15 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_score").alias("score"),
         (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query()
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from the rows that are not held out."""
+    from spotweave.llm.language import fit, held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.where(~held_out()))
+    return identify(docs, model, carried=["doc_id"]).select(
+        "doc_id", held_out().alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score")
+    )
