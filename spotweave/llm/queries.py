@@ -171,3 +171,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, carried=["doc_id"]).select(
         "doc_id", held_out().alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score")
     )
+
+
+@query()
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    from spotweave.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
