@@ -179,3 +179,11 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spotweave.llm.near_dup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of near-equal embeddings."""
+    from spotweave.llm.nn_descent import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
