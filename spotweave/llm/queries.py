@@ -187,3 +187,11 @@ def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spotweave.llm.nn_descent import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty largest inner products of every twentieth embedding."""
+    from spotweave.llm.projected_search import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
