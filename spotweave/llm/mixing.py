@@ -40,7 +40,7 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most
         .withColumn("_capped", F.coalesce(F.sum("_cap").over(along), F.lit(0.0)))
         .withColumn("_open", F.sum("_weight").over(whole) - F.coalesce(F.sum("_weight").over(along), F.lit(0.0)))
         .withColumn("_level", (F.col("_budget") - F.col("_capped")) / F.col("_open"))
-        .withColumn("_final", F.min(F.when(F.col("_ratio") >= F.col("_level"), F.col("_level"))).over(whole))
+        .withColumn("_final", F.max(F.when(F.col("_ratio") >= F.col("_level"), F.col("_level"))).over(whole))
     )
     target = F.least(F.col("_cap"), F.coalesce(F.col("_weight") * F.col("_final"), F.col("_cap")))
     return leveled.select("_source", "source_size", target.alias("target"))

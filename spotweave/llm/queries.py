@@ -36,7 +36,7 @@ leveled as (
          coalesce(sum(cap) over (order by cap / w, src rows between unbounded preceding and 1 preceding), 0) as capped,
          sum(w) over () - coalesce(sum(w) over (order by cap / w, src rows between unbounded preceding and 1 preceding), 0) as opened
   from weighted),
-ending as (select min((budget - capped) / opened) as level from leveled where ratio >= (budget - capped) / opened),
+ending as (select max((budget - capped) / opened) as level from leveled where ratio >= (budget - capped) / opened),
 targets as (select src, source_size, least(cap, coalesce(w * level, cap)) as target from leveled, ending),
 placed as (
   select s.doc_id, s.size, t.source_size, t.target,
