@@ -10,12 +10,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-# The Chebyshev coefficients of the published erfc approximation (relative error < 1.2e-7).
-ERFC_COEFFICIENTS = (
-    -1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
-    0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277,
-)
-
 # Lanczos approximation of ln(gamma), g = 7, nine terms.
 LANCZOS = (
     0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313,
@@ -44,14 +38,22 @@ def let(value, body: Callable[[Column], Column]) -> Column:
 
 
 def erfc(x) -> Column:
-    def series(t: Column) -> Column:
-        poly = F.lit(ERFC_COEFFICIENTS[-1])
-        for c in reversed(ERFC_COEFFICIENTS[:-1]):
-            poly = F.lit(c) + t * poly
-        return poly
+    """Complementary error function: the series of erf near 0, the continued fraction beyond; good to 1e-14."""
+
+    def series(v: Column) -> Column:
+        step = lambda acc, n: let(
+            acc["term"] * 2.0 * v * v / (2.0 * n + 1.0), lambda t: F.struct(t.alias("term"), (acc["sum"] + t).alias("sum"))
+        )
+        total = F.aggregate(F.sequence(F.lit(1), F.lit(80)), F.struct(v.alias("term"), v.alias("sum")), step, lambda acc: acc["sum"])
+        return 1.0 - F.lit(float(2 / np.sqrt(np.pi))) * F.exp(-v * v) * total
+
+    def fraction(v: Column) -> Column:
+        below = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), v, lambda acc, n: v + n / 2.0 / acc)
+        return F.exp(-v * v) / F.lit(float(np.sqrt(np.pi))) / below
 
     def body(v: Column) -> Column:
-        tail = let(1.0 / (1.0 + 0.5 * F.abs(v)), lambda t: t * F.exp(series(t) - v * v))
+        size = F.abs(v)
+        tail = let(size, lambda a: F.when(a < 2.5, series(a)).otherwise(fraction(a)))
         return let(tail, lambda q: F.when(v >= 0, q).otherwise(2.0 - q))
 
     return let(as_column(x).cast("double"), body)
@@ -75,23 +77,17 @@ def chi2_upper(x, df) -> Column:
 
 
 def _chi2_tail(h: Column, df: Column) -> Column:
-    steps = F.floor((df - 1) / 2).cast("int")
+    # even df: sum of exp(-h) h^a / gamma(a+1) for a = 0 .. df/2-1; odd: erfc plus the same for a = 1/2, 3/2, ...
+    # each term by its logarithm, so none is lost where exp(-h) is too small for a double
     even = df % 2 == 0
-    first = F.when(even, F.exp(-h)).otherwise(erfc(F.sqrt(h)))
-    # term i: even -> h^i/i!, odd -> h^(i-1/2)/Gamma(i+1/2), both times exp(-h)
-    start = F.struct(
-        F.when(even, F.exp(-h)).otherwise(
-            F.exp(-h) / F.sqrt(F.greatest(h, F.lit(1e-300)) * float(np.pi))
-        ).alias("term"),
-        first.alias("total"),
-    )
-
-    def step(acc, i):
-        term = acc["term"] * h / F.when(even, i.cast("double")).otherwise(i.cast("double") - 0.5)
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
+    steps = F.floor(df / 2).cast("int")
+    shift = F.when(even, F.lit(-1.0)).otherwise(F.lit(-0.5))
+    log_h = F.log(F.greatest(h, F.lit(1e-300)))
+    term = lambda i: let(i.cast("double") + shift, lambda a: F.exp(a * log_h - h - log_gamma(a + 1.0)))
+    first = F.when(even, F.lit(0.0)).otherwise(erfc(F.sqrt(h)))
     terms = F.when(steps >= 1, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>"))
-    return F.when(df >= 1, F.aggregate(terms, start, step, lambda acc: acc["total"]))
+    total = F.aggregate(terms, first, lambda acc, i: acc + term(i))
+    return F.when(df >= 1, F.when(h <= 0, F.lit(1.0)).otherwise(F.least(total, F.lit(1.0))))
 
 
 def log_gamma(x) -> Column:
@@ -123,22 +119,25 @@ def hypergeometric_upper(k, marked, drawn, total) -> Column:
 
 
 def _hypergeometric_tail(k: Column, marked: Column, drawn: Column, total: Column) -> Column:
-    first = F.exp(
-        log_choose(marked, k) + log_choose(total - marked, drawn - k) - log_choose(total, drawn)
-    )
-    last = F.least(marked, drawn)
-    start = let(first, lambda f: F.struct(f.alias("term"), f.alias("sum")))
-
-    def step(acc, i):
-        i = i.cast("double")
-        ratio = (marked - i) * (drawn - i) / ((i + 1.0) * (total - marked - drawn + i + 1.0))
-        return let(acc["term"] * ratio, lambda t: F.struct(t.alias("term"), (acc["sum"] + t).alias("sum")))
-
-    steps = F.when(
-        last > k, F.sequence(k.cast("int"), (last - 1.0).cast("int"))
-    ).otherwise(F.array().cast("array<int>"))
-    tail = F.aggregate(steps, start, step, lambda acc: acc["sum"])
-    return F.when(k <= 0, F.lit(1.0)).otherwise(F.least(tail, F.lit(1.0)))
+    """The tail on the far side of the mode is summed from its largest term; the near one is its complement."""
+    least, most = F.greatest(F.lit(0.0), drawn + marked - total), F.least(marked, drawn)
+    mode = F.floor((marked + 1.0) * (drawn + 1.0) / (total + 2.0))
+    at = lambda x: F.exp(log_choose(marked, x) + log_choose(total - marked, drawn - x) - log_choose(total, drawn))
+    whole = lambda a, b: F.when(a <= b, F.sequence(a.cast("int"), b.cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    def summed(start: Column, steps: Column, ratio) -> Column:
+        def step(acc, i):
+            return let(acc["term"] * ratio(i.cast("double")), lambda t: F.struct(t.alias("term"), (acc["sum"] + t).alias("sum")))
+
+        return F.aggregate(steps, let(at(start), lambda f: F.struct(f.alias("term"), f.alias("sum"))), step, lambda acc: acc["sum"])
+
+    up = lambda i: (marked - i) * (drawn - i) / ((i + 1.0) * (total - marked - drawn + i + 1.0))  # from i to i + 1
+    upper = summed(k, whole(k, most - 1.0), up)
+    # downwards from k - 1, the steps taken as distances
+    down = lambda n: let(k - n, lambda i: i * (total - marked - drawn + i) / ((marked - i + 1.0) * (drawn - i + 1.0)))
+    lower = summed(k - 1.0, whole(F.lit(1.0), k - 1.0 - least), down)
+    tail = F.when(k > mode, upper).otherwise(1.0 - lower)
+    return F.when(k <= least, F.lit(1.0)).when(k > most, F.lit(0.0)).otherwise(F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0)))
 
 
 def _incomplete_beta(a, b, x):

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from spotweave.session import materialize
 
-PLAIN_ROWS = 1_000_000  # at most so many rows in total may go through one ordinary window
 FINE_BUCKETS = 4096
 _EXPONENT_SHIFT = 2000  # larger than any binary exponent of a double, keeps the coarse bucket's sign
 
@@ -52,26 +51,16 @@ def running(
     buckets=number_buckets,
     tiebreak: list[str] | None = None,
     written: bool = False,
-    plain_rows: int | None = None,
 ) -> DataFrame:
     """Add, per measure ``name: (sum|min|max, expression)``, its inclusive running value along ``order``.
 
     Keys and order must not be NULL. Rows should be unique in ``(keys, order)`` (aggregate first) or be told
     apart by ``tiebreak``. The input is read more than once and is therefore written first, unless the
-    caller says it already is. Its size is then known: a small one takes an ordinary window.
+    caller says it already is.
     """
     if not written:
         df = materialize(df, "running")
     direction = F.col(order).desc() if descending else F.col(order).asc()
-    if df.count() <= (PLAIN_ROWS if plain_rows is None else plain_rows):
-        whole = (
-            Window.partitionBy(*keys)
-            .orderBy(direction, *(tiebreak or []))
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        return df.select(
-            *df.columns, *[_MERGE[how](expr).over(whole).alias(name) for name, (how, expr) in measures.items()]
-        )
     flip = -1 if descending else 1
     coarse, fine = buckets(F.col(order))
     rows = df.withColumns({"_b1": coarse * flip, "_b2": fine * flip})
@@ -114,9 +103,7 @@ def running(
     return joined.select(*df.columns, *[c.alias(name) for name, c in out.items()])
 
 
-def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, fractions: dict[str, float], plain_rows: int | None = None
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one column per entry of ``fractions``.
 
     Counts per distinct value, running counts, then the values that straddle the wanted position.
@@ -128,7 +115,7 @@ def exact_quantiles(
         .agg(F.count("*").alias("_n"))
     )
     counts = materialize(counts, "value-counts")
-    ranked = running(counts, keys, "_v", {"_upto": ("sum", F.col("_n"))}, written=True, plain_rows=plain_rows)
+    ranked = running(counts, keys, "_v", {"_upto": ("sum", F.col("_n"))}, written=True)
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     if keys:
         ranked = ranked.join(totals, keys)

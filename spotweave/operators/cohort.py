@@ -51,17 +51,14 @@ def fetch_expression(
     return gene_filter(rows, genes).select("sample_id", "gene", "value")
 
 
-def expression_arrays(slice_: DataFrame, max_length: int = 10_000) -> DataFrame:
+def expression_arrays(slice_: DataFrame, chunks: int = 1) -> DataFrame:
     """T2. Gene -> values ordered by sample, for the edge of a program.
 
-    A cohort of more than ``max_length`` samples is dealt by sample hash into chunks of about that length,
-    the same samples in the same chunk for every gene; up to that size there is the one chunk 0.
+    The caller says into how many ``chunks`` the samples are dealt by hash, the same samples in the same chunk
+    for every gene; a row is one (gene, chunk), whatever the size of the cohort.
     """
-    in_range("max_length", max_length, 1)
-    samples = slice_.agg(F.approx_count_distinct("sample_id").alias("n")).scalar()
-    # the approximate count is good to a few percent, hence the allowance before a second chunk starts
-    chunks = F.greatest(F.ceil((samples / max_length) - 0.2), F.lit(1))
-    numbered = slice_.withColumn("_c", chunks).withColumn("chunk", F.pmod(F.xxhash64("sample_id"), F.col("_c")))
+    in_range("chunks", chunks, 1)
+    numbered = slice_.withColumn("chunk", F.pmod(F.xxhash64("sample_id"), F.lit(chunks)))
     return numbered.groupBy("gene", "chunk").agg(
         F.sort_array(F.collect_list(F.struct("sample_id", "value"))).alias("_e")
     ).select(

@@ -1,18 +1,18 @@
 """Survival curves and tests.
 
-Rows are ``months INT, event BOOLEAN`` with a group column. Everything is aggregated to one row per
-(group, month) before any window: follow-up is counted in whole months, so a window holds at most a few
-thousand rows however many patients there are. Rows without months are dropped.
+Rows are ``months, event BOOLEAN`` with a group column. Everything is aggregated to one row per (group, month)
+first; months may be fractions, so running sums over them go through buckets. Rows without months are dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotweave.functions.checks import need_columns
 from spotweave.functions.numeric import chi2_one_df
-from spotweave.functions.running import exact_quantiles
+from spotweave.functions.running import exact_quantiles, running
+from spotweave.session import materialize
 
 
 def split_by_expression(df: DataFrame, threshold: float | str | None = None, value: str = "value") -> DataFrame:
@@ -33,7 +33,7 @@ def _per_month(surv: DataFrame, group: str) -> DataFrame:
     need_columns(surv, "months", "event", group)
     return (
         surv.where(F.col("months").isNotNull() & F.col(group).isNotNull())
-        .groupBy(F.col(group).alias("grp"), F.col("months").cast("int").alias("months"))
+        .groupBy(F.col(group).alias("grp"), F.col("months").cast("double").alias("months"))
         .agg(F.count("*").alias("leaving"), F.count_if("event").alias("events"))
     )
 
@@ -44,17 +44,21 @@ def kaplan_meier(surv: DataFrame, group: str = "grp") -> DataFrame:
     S is exp of the running sum of ln(1 - d/n); from the month where everyone left at risk has an event
     it is 0, which a running flag marks because the logarithm cannot.
     """
-    months = _per_month(surv, group)
-    later = Window.partitionBy("grp").orderBy(F.col("months").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    upto = Window.partitionBy("grp").orderBy("months").rowsBetween(Window.unboundedPreceding, 0)
+    months = running(_per_month(surv, group), ["grp"], "months", {"at_risk": ("sum", F.col("leaving"))}, descending=True)
     d, n = F.col("events"), F.col("at_risk")
-    steps = months.withColumn("at_risk", F.sum("leaving").over(later))
-    log_s = F.sum(F.when(d < n, F.log(1.0 - d / n)).otherwise(0.0)).over(upto)
-    gone = F.max(F.when(d == n, 1).otherwise(0)).over(upto)
-    return steps.select(
+    curve = running(
+        months,
+        ["grp"],
+        "months",
+        {
+            "_log_s": ("sum", F.when(d < n, F.log(1.0 - d / n)).otherwise(0.0)),
+            "_gone": ("max", F.when(d == n, 1).otherwise(0)),
+        },
+    )
+    return curve.select(
         "grp", "months", "at_risk", "events",
         (F.col("leaving") - d).alias("censored"),
-        F.when(gone == 1, 0.0).otherwise(F.exp(log_s)).alias("survival"),
+        F.when(F.col("_gone") == 1, 0.0).otherwise(F.exp("_log_s")).alias("survival"),
     )
 
 
@@ -67,7 +71,7 @@ def median_survival(curve: DataFrame) -> DataFrame:
     )
 
 
-def survival_at(curve: DataFrame, months: int = 60) -> DataFrame:
+def survival_at(curve: DataFrame, months: float = 60) -> DataFrame:
     """T8. S at a month: the last step not after it, 1 before the first."""
     return curve.groupBy("grp").agg(
         F.coalesce(
@@ -80,17 +84,27 @@ def survival_at(curve: DataFrame, months: int = 60) -> DataFrame:
     )
 
 
-def log_rank_sums(surv: DataFrame, group: str = "grp", first: str = "high", second: str = "low") -> DataFrame:
+def two_groups(surv: DataFrame, group: str = "grp", first=None, second=None) -> tuple:
+    """The two labels a test compares: as named, or the only two in the data, `high` before `low`."""
+    if first is not None and second is not None:
+        return first, second
+    labels = [r[0] for r in surv.where(F.col(group).isNotNull() & F.col("months").isNotNull()).select(group).distinct().limit(3).collect()]
+    if len(labels) != 2:
+        raise ValueError(f"name the two groups to compare; the column {group} holds {'more' if len(labels) > 2 else 'fewer'} than two")
+    return ("high", "low") if set(labels) == {"high", "low"} else tuple(sorted(labels))
+
+
+def log_rank_sums(surv: DataFrame, group: str = "grp", first=None, second=None) -> DataFrame:
     """Observed and expected events of both groups, and the hypergeometric variance."""
+    first, second = two_groups(surv, group, first, second)
     months = _per_month(surv, group).where(F.col("grp").isin(first, second))
     of = lambda c, g: F.sum(F.when(F.col("grp") == g, F.col(c)).otherwise(0))
-    # one row per month over both groups; whole months bound the single window
+    # one row per month over both groups
     wide = months.groupBy("months").agg(
         of("leaving", first).alias("l1"), of("leaving", second).alias("l2"),
         of("events", first).alias("d1"), of("events", second).alias("d2"),
     )
-    later = Window.partitionBy(F.lit(0)).orderBy(F.col("months").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    risk = wide.withColumns({"n1": F.sum("l1").over(later), "n2": F.sum("l2").over(later)})
+    risk = running(wide, [], "months", {"n1": ("sum", F.col("l1")), "n2": ("sum", F.col("l2"))}, descending=True)
     n, d = F.col("n1") + F.col("n2"), F.col("d1") + F.col("d2")
     variance = F.when(
         n > 1, (F.col("n1") / n) * (F.col("n2") / n) * d * (n - d) / (n - 1)
@@ -102,7 +116,7 @@ def log_rank_sums(surv: DataFrame, group: str = "grp", first: str = "high", seco
     )
 
 
-def log_rank(surv: DataFrame, group: str = "grp", first: str = "high", second: str = "low") -> DataFrame:
+def log_rank(surv: DataFrame, group: str = "grp", first=None, second=None) -> DataFrame:
     """T9. Two-group log-rank chi-square (1 df) and p."""
     gap = F.col("observed1") - F.col("expected1")
     sums = log_rank_sums(surv, group, first, second).withColumn(
@@ -111,13 +125,14 @@ def log_rank(surv: DataFrame, group: str = "grp", first: str = "high", second: s
     return sums.withColumn("p_value", chi2_one_df("chi_square"))
 
 
-def hazard_ratio(surv: DataFrame, group: str = "grp", first: str = "high", second: str = "low") -> DataFrame:
-    """T10. (O1/E1) / (O2/E2) with a 95 % interval exp(ln HR +- 1.96 sqrt(1/E1 + 1/E2))."""
+def _ratio():
     zero = F.lit(0.0)
-    ratio = (F.col("observed1") / F.nullif("expected1", zero)) / F.nullif(
-        F.col("observed2") / F.nullif("expected2", zero), zero
-    )
-    sums = log_rank_sums(surv, group, first, second).withColumn("hazard_ratio", ratio)
+    return (F.col("observed1") / F.nullif("expected1", zero)) / F.nullif(F.col("observed2") / F.nullif("expected2", zero), zero)
+
+
+def hazard_ratio(surv: DataFrame, group: str = "grp", first=None, second=None) -> DataFrame:
+    """T10. (O1/E1) / (O2/E2) with a 95 % interval exp(ln HR +- 1.96 sqrt(1/E1 + 1/E2))."""
+    sums = log_rank_sums(surv, group, first, second).withColumn("hazard_ratio", _ratio())
     width = 1.96 * F.sqrt(F.try_divide(F.lit(1.0), F.col("expected1")) + F.try_divide(F.lit(1.0), F.col("expected2")))
     return sums.select(
         "hazard_ratio",
@@ -126,16 +141,15 @@ def hazard_ratio(surv: DataFrame, group: str = "grp", first: str = "high", secon
     )
 
 
-def survival_report(surv: DataFrame, months: int = 60, group: str = "grp") -> DataFrame:
+def survival_report(surv: DataFrame, months: float = 60, group: str = "grp", first=None, second=None) -> DataFrame:
     """T6-T10 together, one row per group: median, survival at a month, sizes, and the two-group test.
 
-    The test columns are NULL where only one group exists.
+    The test columns are NULL where only one group exists; of more than two, name the two to compare.
     """
-    curve = kaplan_meier(surv, group)
+    curve = materialize(kaplan_meier(surv, group), "survival-curve")
     rows = median_survival(curve).join(survival_at(curve, months), "grp")
-    two = rows.agg((F.count("*") > 1).alias("t")).scalar()
-    p = log_rank(surv, group).select("p_value").scalar()
-    ratio = hazard_ratio(surv, group).select("hazard_ratio").scalar()
-    tested = rows.withColumns({"_two": two, "_p": p, "_h": ratio})
-    only = lambda c: F.when(F.col("_two"), F.col(c))
-    return tested.select(*rows.columns, only("_p").alias("log_rank_p_value"), only("_h").alias("hazard_ratio"))
+    if first is None and curve.select("grp").distinct().limit(2).count() < 2:
+        none = F.lit(None).cast("double")
+        return rows.select("*", none.alias("log_rank_p_value"), none.alias("hazard_ratio"))
+    tested = materialize(log_rank(surv, group, first, second).withColumn("hazard_ratio", _ratio()), "survival-test")
+    return rows.crossJoin(F.broadcast(tested.select(F.col("p_value").alias("log_rank_p_value"), "hazard_ratio")))  # one row

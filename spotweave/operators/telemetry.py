@@ -138,12 +138,15 @@ def dedup_requests(events: DataFrame, key: str = "request_id", order: list[str]
 def late_events(events: DataFrame, arrival: str, delay_seconds: int) -> DataFrame:
     """W6. Events older than the highest time seen up to their arrival minus the delay.
 
-    ``arrival`` is the arrival number. The running maximum is bucketed, not one window over everything.
+    ``arrival`` is the arrival number; events of one number arrive together. The running maximum is bucketed,
+    not one window over everything.
     """
     in_range("delay_seconds", delay_seconds, 0)
-    rows = events.withColumns({"_a": F.col(arrival).cast("double"), "_us": F.unix_micros("ts")})
-    seen = running(rows, [], "_a", {"_high": ("max", F.col("_us"))})
-    return seen.where(F.col("_us") < F.col("_high") - delay_seconds * 1_000_000).select(*events.columns)
+    rows = events.withColumns({"_a": F.col(arrival), "_us": F.unix_micros("ts")})
+    arrivals = rows.where("_a is not null").groupBy("_a").agg(F.max("_us").alias("_m"))
+    seen = running(arrivals, [], "_a", {"_high": ("max", F.col("_m"))}).select("_a", "_high")
+    late = rows.join(seen, "_a").where(F.col("_us") < F.col("_high") - delay_seconds * 1_000_000)
+    return late.select(*events.columns)
 
 
 def stuck_runs(events: DataFrame, timeout_seconds: int, as_of=None) -> DataFrame:

@@ -54,16 +54,15 @@ BINDINGS: dict[str, str | tuple[str, str]] = {
         select s.spot_id, e.gene, s.batch,
                cast(sum(e.count) as double) + length(s.batch) * 5 + cast(substr(e.gene, 7) as int) % 3 * length(s.batch) as value
         from {brand_expr} e join {spots} s on e.spot_id = s.spot_id group by s.spot_id, e.gene, s.batch""",
-    # a genome of at most 20,000 genes, so a set and a gene list stay bounded while the part table grows
-    "gene_sets": "select distinct p_name as pathway, p_partkey % 20000 as gene from {part}",
-    "gene_list": "select distinct p_partkey % 20000 as gene from {part} where p_size <= 10",
-    "background": "select distinct p_partkey % 20000 as gene from {part}",
+    "gene_sets": "select distinct p_name as pathway, p_partkey as gene from {part}",
+    "gene_list": "select distinct p_partkey as gene from {part} where p_size <= 10",
+    "background": "select distinct p_partkey as gene from {part}",
     "tiles": """
         select cast(o_custkey as string) as barcode, o_orderstatus as tile, o_orderkey as row_no,
                o_totalprice as value, o_orderpriority as note from {orders}""",
     "reads": """
         select concat('lane_', cast(l_suppkey % 8 as string), '.fastq') as file,
-               ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 100000 + l_suppkey as pos,
+               (l_orderkey * 8 + l_linenumber) * 1000000000 + (l_partkey * 100003 + l_suppkey) % 1000000000 as pos,
                concat(case when l_partkey % 97 = 0 then '' else '@' end, 'READ', cast(l_orderkey as string), '.',
                       cast(l_linenumber as string), '.', cast(l_partkey as string)) as header,
                concat('READ', cast(l_orderkey as string), '.', cast(l_linenumber as string), '.',

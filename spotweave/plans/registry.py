@@ -13,7 +13,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotweave.functions.numeric import ERFC_COEFFICIENTS
 from spotweave.plans.bindings import bind, duck_sql
 
 
@@ -76,14 +75,13 @@ def query(name: str, columns: str, oracle: str | None = None):
     return register
 
 
-def erfc_sql(x: str) -> str:
-    """The erfc approximation as DuckDB text."""
-    t = f"(1.0/(1.0+0.5*abs({x})))"
-    poly = f"({ERFC_COEFFICIENTS[-1]})"
-    for c in reversed(ERFC_COEFFICIENTS[:-1]):
-        poly = f"({c}+{t}*{poly})"
-    tail = f"({t}*exp(-(({x})*({x}))+{poly}))"
-    return f"(case when ({x}) >= 0 then {tail} else 2.0-{tail} end)"
+def erfc_sql(x: str, steps: int = 600) -> str:
+    """The complementary error function as DuckDB text: one minus Simpson's rule over the density."""
+    h = f"(least(abs({x}), 7.0) / {steps})"
+    weight = f"(case when i = 0 or i = {steps} then 1.0 when i % 2 = 1 then 4.0 else 2.0 end)"
+    area = f"(list_sum(list_transform(range(0, {steps + 1}), lambda i: {weight} * exp(-({h} * i) * ({h} * i)))) * {h} / 3.0)"
+    tail = f"(1.0 - 2.0 / sqrt(pi()) * {area})"
+    return f"(case when ({x}) >= 0 then greatest({tail}, 0.0) else 2.0 - {tail} end)"
 
 
 def normal_p_sql(z: str) -> str:

@@ -60,15 +60,14 @@ def read_spot_table(t):
 
 @query(
     "read_expression", "spot_id:s gene:s count:i",
-    """with b as (select unnest(['Brand#1', 'Brand#2', 'Brand#3']) as gene)
-       select cast(spot_id as varchar) as spot_id, gene, coalesce(sum(count), 0) as count
-       from (select distinct spot_id from {brand_expr} where gene in ('Brand#1', 'Brand#2', 'Brand#3')) s cross join b
-            left join {brand_expr} using (spot_id, gene) group by spot_id, gene""",
+    """with s as (select distinct spot_id from {brand_expr}), g as (select distinct gene from {brand_expr})
+       select cast(s.spot_id as varchar) as spot_id, g.gene, coalesce(sum(count), 0) as count
+       from s cross join g left join {brand_expr} e on e.spot_id = s.spot_id and e.gene = g.gene group by s.spot_id, g.gene""",
 )
 def read_expression(t):
     from spotweave.operators.expression import to_wide
 
-    genes = ["Brand#1", "Brand#2", "Brand#3"]
+    genes = [f"Brand#{i}" for i in range(1, 26)]
     path = fresh_path(t.spark, "expression")
     wide = to_wide(t.brand_expr, genes).withColumn("spot_id", F.col("spot_id").cast("string"))
     wide.withColumns({"barcode": F.col("spot_id"), "region": F.lit("r")}).write.json(path)

@@ -162,15 +162,12 @@ def to_wide(t):
 
 @query(
     "to_long", "spot_id:i gene:s count:i",
-    """with w as (select spot_id, sum(case when gene = 'Brand#1' then count else 0 end) as b1,
-                         sum(case when gene = 'Brand#2' then count else 0 end) as b2,
-                         sum(case when gene = 'Brand#3' then count else 0 end) as b3 from {brand_expr}
-                  where gene in ('Brand#1', 'Brand#2', 'Brand#3') group by spot_id)
-       select spot_id, 'Brand#1' as gene, b1 as count from w union all select spot_id, 'Brand#2', b2 from w
-       union all select spot_id, 'Brand#3', b3 from w""",
+    """with s as (select distinct spot_id from {brand_expr}), g as (select distinct gene from {brand_expr})
+       select s.spot_id, g.gene, coalesce(sum(count), 0) as count
+       from s cross join g left join {brand_expr} e on e.spot_id = s.spot_id and e.gene = g.gene group by s.spot_id, g.gene""",
 )
 def to_long(t):
-    return E.to_long(E.to_wide(t.brand_expr, _BRANDS[:3]), ["spot_id"])
+    return E.to_long(E.to_wide(t.brand_expr, _BRANDS), ["spot_id"])
 
 
 def _lengths(t):

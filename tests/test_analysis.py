@@ -6,7 +6,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spotweave.functions import running as running_module
 from spotweave.operators import batch_effects as B
 from spotweave.operators import differential as D
 from spotweave.operators import enrichment as P
@@ -24,9 +23,7 @@ def rank_sum(a, b):
     return u, (u - n1 * n2 / 2) / math.sqrt(var) if var > 0 else None
 
 
-@pytest.mark.parametrize("plain_rows", [0, 10**6])
-def test_wilcoxon_with_ties(spark, monkeypatch, plain_rows):
-    monkeypatch.setattr(running_module, "PLAIN_ROWS", plain_rows)
+def test_wilcoxon_with_ties(spark):
     rng = random.Random(2)
     data = {g: ([float(rng.randrange(6)) for _ in range(25)], [float(rng.randrange(2, 9)) for _ in range(31)]) for g in "ab"}
     data["flat"] = ([1.0] * 4, [1.0] * 5)
@@ -80,9 +77,7 @@ def bh(ps):
     return out
 
 
-@pytest.mark.parametrize("plain_rows", [0, 10**6])
-def test_benjamini_hochberg(spark, monkeypatch, plain_rows):
-    monkeypatch.setattr(running_module, "PLAIN_ROWS", plain_rows)
+def test_benjamini_hochberg(spark):
     known = spark.createDataFrame([(f"g{i}", i / 100) for i in range(1, 6)], "gene string, p_value double")
     assert [r.p_adj for r in D.adjust_pvalues(known).collect()] == pytest.approx([0.05] * 5)
     rng = random.Random(6)

@@ -74,8 +74,20 @@ def test_log_rank_and_hazard(spark):
     assert report["low"].log_rank_p_value == pytest.approx(got.p_value) and report["low"].hazard_ratio == pytest.approx(h.hazard_ratio)
     alone = S.survival_report(frame.where("grp = 'high'")).first()
     assert alone.num_events == 3 and alone.log_rank_p_value is None
-    lonely = S.log_rank(frame.where("grp = 'high'")).first()
-    assert lonely.chi_square == 0.0
+    with pytest.raises(ValueError):  # one group: nothing to compare
+        S.log_rank(frame.where("grp = 'high'"))
+
+
+def test_log_rank_takes_labels_from_the_data(spark):
+    rows = [("A", m, True) for m in (0.2, 0.9, 1.5)] + [("B", m, True) for m in (40.5, 50.25)] + [("B", 60.0, False)]
+    frame = spark.createDataFrame(rows, "grp string, months double, event boolean")
+    named, found = S.log_rank(frame, first="A", second="B").first(), S.log_rank(frame).first()
+    assert found == named and found.chi_square > 4
+    assert [r.months for r in S.kaplan_meier(frame).where("grp = 'A'").orderBy("months").collect()] == [0.2, 0.9, 1.5]
+    third = frame.unionByName(spark.createDataFrame([("C", 1.0, True)], frame.schema))
+    with pytest.raises(ValueError):
+        S.log_rank(third)
+    assert S.log_rank(third, first="A", second="B").first() == named
 
 
 def test_split_by_expression(spark):

@@ -6,7 +6,6 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from spotweave.functions import running as running_module
 from spotweave.operators import cells as K
 from spotweave.operators import imaging as I
 from spotweave.operators import telemetry as W
@@ -168,9 +167,7 @@ def test_sessions(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("plain_rows", [0, 10**6])
-def test_late_events(spark, monkeypatch, plain_rows):
-    monkeypatch.setattr(running_module, "PLAIN_ROWS", plain_rows)
+def test_late_events(spark):
     df = spark.createDataFrame([(1, at(100)), (2, at(500)), (3, at(390)), (4, at(450)), (5, at(399))], "n long, ts timestamp")
     assert {r.n for r in W.late_events(df, "n", 100).collect()} == {3, 5}
 
