@@ -30,24 +30,29 @@ from spotweave.session import materialize
 LEAST_SURE = 0.5
 
 
+def _whole_rows(docs: DataFrame) -> DataFrame:
+    """(text, row): the row as a struct, so that columns a stage adds can't clash with its own."""
+    return docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon does not call toxic."""
     model = tox.fit_from_labels(docs, table(spark, sf_dir, "labels"))
-    return tox.score(docs, model).where(F.col("_score") < tox.THRESHOLD).select(*docs.columns)
+    return tox.score(_whole_rows(docs), model, carried=["row"]).where(F.col("_score") < tox.THRESHOLD).select("row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told."""
     model = lang.fit(docs.where(~lang.held_out()))
-    told = lang.identify(docs, model)
-    return told.where((F.col("_lang") != lang.UNDETERMINED) & (F.col("_score") >= LEAST_SURE)).select(*docs.columns)
+    told = lang.identify(_whole_rows(docs), model, carried=["row"])
+    return told.where((F.col("_lang") != lang.UNDETERMINED) & (F.col("_score") >= LEAST_SURE)).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     found = near_duplicates(docs)
     kept = found.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    staying = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"])).drop("_kept_id")
+    staying = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"])).drop(kept["_kept_id"])
     return staying.dropDuplicates(["doc_id", "text"])
 
 

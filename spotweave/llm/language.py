@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spotweave.llm.common import hash_order, hash_share
 
@@ -330,6 +331,6 @@ def identify(docs: DataFrame, model: Field, text: str = "text", carried: list[st
                 [*batch.columns[1:], pa.array(langs.tolist(), pa.string()), pa.array(scores)], names=[*names.values(), "_lang", "_score"]
             )
 
-    schema = ", ".join([f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names.values()] + ["_lang string", "_score double"])
-    out = rows.mapInArrow(label, schema)
+    told = [T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())]
+    out = rows.mapInArrow(label, T.StructType([*rows.schema.fields[1:], *told]))
     return out.select(*[F.col(n).alias(c) for c, n in names.items()], "_lang", "_score")

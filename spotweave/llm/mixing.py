@@ -46,6 +46,24 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return leveled.select("_source", "source_size", target.alias("target"))
 
 
+def _dealt(docs: DataFrame, text, source, doc_id, size, weights, share, most, seed) -> DataFrame:
+    """(row, size, source_size, target, copies), the row as a struct so that no name of its columns matters."""
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        (n_words(F.col(text)) if size is None else size).cast("long").alias("size"),
+        nullable_key(F.col(source)).alias("_source"),
+        hash_order(F.lit(seed), doc_id).alias("_order"),
+    ).withColumn("_bucket", F.substring("_order", 1, 3))
+    targets = source_targets(rows.select("_source", "size"), weights, share, most)
+    placed = prefix_sums(rows, ["_source"], ["size", "_bucket"], ["_order"], out="_before")
+    placed = placed.join(F.broadcast(targets), "_source")  # one row per source
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    start = hash_share(F.lit(seed), F.lit("offset"), "_source")
+    crossed = lambda rank: F.floor(rate * rank + start)
+    copies = (crossed(F.col("_before") + 1) - crossed(F.col("_before"))).cast("long")
+    return placed.select("row", "size", "source_size", "target", copies.alias("copies"))
+
+
 def mix(
     docs: DataFrame,
     text: str = "text",
@@ -57,36 +75,24 @@ def mix(
     most: int = MOST,
     seed: str = "mix",
 ) -> DataFrame:
-    """All columns of ``docs`` with ``_size``, ``_source_size``, ``_target`` and ``_copies``.
+    """All columns of ``docs``, then ``_size``, ``_source_size``, ``_target`` and ``_copies``.
 
     ``size`` replaces the word count of ``text`` where the caller has it. Null and empty texts have size 0
     and are dealt copies like any document, which cost no words; a null source is a source of its own,
-    the last; rows that repeat are separate documents; an empty table gives an empty table. Columns whose
-    names begin with an underscore are the operator's own and must not be in ``docs``.
+    the last; a source without words has target 0 and no copies; rows that repeat are separate documents; an
+    empty table gives an empty table.
     """
-    rows = docs.withColumn("size", n_words(F.col(text))) if size is None else docs.withColumn("size", size)
-    if "size" in docs.columns:
-        rows = docs.withColumn("_kept_size", F.col("size")).withColumn(
-            "size", n_words(F.col(text)) if size is None else size
-        )
-    rows = rows.withColumn("_source", nullable_key(F.col(source))).withColumn("_order", hash_order(F.lit(seed), doc_id))
-    rows = rows.withColumn("_bucket", F.substring("_order", 1, 3))
-    targets = source_targets(rows.select("_source", "size"), weights, share, most)
-    placed = prefix_sums(rows, ["_source"], ["size", "_bucket"], ["_order"], out="_before")
-    placed = placed.join(F.broadcast(targets), "_source")  # one row per source
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    start = hash_share(F.lit(seed), F.lit("offset"), "_source")
-    crossed = lambda rank: F.floor(rate * rank + start)
-    copies = (crossed(F.col("_before") + 1) - crossed(F.col("_before"))).cast("long")
-    out = placed.withColumn("_copies", copies).withColumnsRenamed(
-        {"size": "_size", "source_size": "_source_size", "target": "_target"}
+    out = _dealt(docs, text, source, doc_id, size, weights, share, most, seed)
+    return out.select(
+        "row.*",
+        F.col("size").alias("_size"),
+        F.col("source_size").alias("_source_size"),
+        F.col("target").alias("_target"),
+        F.col("copies").alias("_copies"),
     )
-    if "size" in docs.columns:
-        out = out.withColumnRenamed("_kept_size", "size")
-    return out.select(*docs.columns, "_size", "_source_size", "_target", "_copies")
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+def mixed_rows(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: str = "mix") -> DataFrame:
     """The mixed corpus: each row of ``docs`` as many times as the mix takes it, columns unchanged."""
-    dealt = mix(docs, **options).where("_copies > 0")
-    return dealt.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    dealt = _dealt(docs, text, source, doc_id, None, WEIGHTS, SHARE, MOST, seed).where("copies > 0")
+    return dealt.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

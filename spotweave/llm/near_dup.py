@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spotweave.llm.common import components
-from spotweave.session import materialize
+from spotweave.session import fresh_path, materialize
 
 SHINGLE_WORDS = 5
 LEAST_PERCENT = 75
@@ -129,8 +129,16 @@ def _pair(a: str, b: str) -> list[Column]:
 
 
 def candidate_pairs(sets: DataFrame, trees: int = TREES, small: int = SMALL_NODE) -> DataFrame:
-    """Distinct (a, b), a < b, of set ids that met in a node of some tree; ``sets`` has set_id and signature."""
-    found = []
+    """Distinct (a, b), a < b, of set ids that met in a node of some tree; ``sets`` has set_id and signature.
+
+    Every level reads and writes tables, so plans stay short however deep the trees go.
+    """
+    spark = sets.sparkSession
+    path = fresh_path(spark, "candidate-pairs")
+
+    def keep(pairs: DataFrame) -> None:
+        pairs.distinct().write.mode("append").parquet(path)
+
     roots = F.array(*[F.xxhash64(F.lit("tree"), F.lit(t)) for t in range(trees)])
     rows = sets.select("set_id", F.explode(F.flatten(F.transform(roots, lambda r: _branches(r, F.col("signature"))))).alias("node"))
     for depth in range(DEEPEST + 1):
@@ -143,33 +151,33 @@ def candidate_pairs(sets: DataFrame, trees: int = TREES, small: int = SMALL_NODE
         pairs = F.flatten(
             F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, small), lambda y: F.struct(x.alias("a"), y.alias("b"))))
         )
-        found.append(materialize(members.select(F.explode(pairs).alias("p")).select("p.*").distinct(), "leaf-pairs"))
+        keep(members.select(F.explode(pairs).alias("p")).select("p.*"))
         crowded = nodes.where(F.col("m") > small)
         if crowded.limit(1).count() == 0:
             break
         pivots = crowded.join(sets.select(F.col("set_id").alias("pivot"), F.col("signature").alias("pivot_signature")), "pivot")
         inside = rows.join(pivots, "node").join(sets.select("set_id", "signature"), "set_id")
-        inside = inside.withColumn("near", _estimate(F.col("signature"), F.col("pivot_signature"))).drop("pivot_signature")
+        inside = inside.withColumn("near", _estimate(F.col("signature"), F.col("pivot_signature"))).drop("pivot_signature", "m")
         inside = materialize(inside, "crowded")
-        found.append(
-            inside.where((F.col("set_id") != F.col("pivot")) & (F.col("near") >= PLAUSIBLE)).select(*_pair("set_id", "pivot"))
+        far = inside.groupBy("node").agg(
+            F.sum(F.when(F.col("near") < NEAR, 1).otherwise(0)).alias("far"),
         )
-        far = inside.groupBy("node").agg(F.sum(F.when(F.col("near") < NEAR, 1).otherwise(0)).alias("far"))
+        far = materialize(far, "far")
+        to_pivot = inside.where((F.col("set_id") != F.col("pivot")) & (F.col("near") >= PLAUSIBLE)).select(*_pair("set_id", "pivot"))
         if depth == DEEPEST:
             others = inside.select("node", F.col("set_id").alias("other"))
-            found.append(inside.join(others, "node").where("set_id < other").select(*_pair("set_id", "other")))
+            keep(inside.join(others, "node").where("set_id < other").select(*_pair("set_id", "other")))
             break
         done = far.where(F.col("far") <= small).select("node")
         few = inside.where(F.col("near") < NEAR).join(done, "node").groupBy("node").agg(F.collect_list("set_id").alias("few"))
         against = inside.join(few, "node").select("set_id", F.explode("few").alias("other")).where("set_id <> other")
-        found.append(against.select(*_pair("set_id", "other")).distinct())
+        keep(to_pivot.unionByName(against.select(*_pair("set_id", "other"))))
         go_on = inside.join(far.where(F.col("far") > small).select("node"), "node")
         go_on = go_on.where((F.col("near") < SAME) | (F.col("set_id") == F.col("pivot")))
-        rows = go_on.select("set_id", F.explode(_branches(F.col("node"), F.col("signature"))).alias("node"))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    return pairs.distinct()
+        # two branchings at a time: large nodes need several anyway
+        once = go_on.select("set_id", "signature", F.explode(_branches(F.col("node"), F.col("signature"))).alias("node"))
+        rows = once.select("set_id", F.explode(_branches(F.col("node"), F.col("signature"))).alias("node"))
+    return spark.read.schema("a long, b long").parquet(path).distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", trees: int = TREES) -> DataFrame:

@@ -74,12 +74,12 @@ def shard(docs: DataFrame, group: Column, doc_id: str = "doc_id", n_shards: int
     Numbers of rows per shard differ by one at most. Rows of an equal, non-null ``group`` are linked and stay
     together as far as the quotas allow; a group larger than a shard fills as few shards as propagation finds.
     A null group links with nothing. Repeated rows are rows of their own. An empty table gives an empty table.
-    ``docs`` is read several times: give it written and narrow. Column names that begin with an underscore are
-    the operator's own.
+    ``docs`` is read several times: give it written and narrow.
     """
     key = F.coalesce(F.concat(F.lit("g"), F.md5(group.cast("string"))), F.concat(F.lit("n"), hash_order(F.lit("one"), doc_id)))
-    rows = docs.withColumn("_group", key).withColumn("_order", hash_order(F.lit("shard"), doc_id))
-    rows = rows.withColumn("_bucket", F.substring("_order", 1, 3))
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("_group"), hash_order(F.lit("shard"), doc_id).alias("_order")
+    ).withColumn("_bucket", F.substring("_order", 1, 3))
     ranked = prefix_sums(rows, ["_group"], ["_bucket"], ["_order"], out="_rank", total="_group_rows")
     ranked = materialize(ranked, "shard-ranks")
     linked = F.col("_group").startswith("g") & (F.col("_group_rows") > 1)
@@ -136,11 +136,11 @@ def shard(docs: DataFrame, group: Column, doc_id: str = "doc_id", n_shards: int
 
     starts = before(gaps)
     into = sum((F.when(F.col("_float") >= s, 1).otherwise(0) for s in starts[1:]), F.lit(0))
-    columns = [*docs.columns, "_shard", "_slot", "_float"]
+    columns = ["row", "_shard", "_slot", "_float"]
     out = members.select(*columns).unionByName(single.select(*columns)).withColumn("_into", into)
     floats = F.col("_float").isNotNull()
     return out.select(
-        *docs.columns,
+        "row.*",
         F.when(floats, F.col("_into")).otherwise(F.col("_shard")).cast("int").alias("_shard"),
         F.when(floats, F.col("_float") - at(starts, F.col("_into")) + at(filled, F.col("_into")))
         .otherwise(F.col("_slot"))

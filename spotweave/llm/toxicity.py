@@ -18,11 +18,14 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from spotweave.llm.common import hash_order, hash_share
 from spotweave.session import materialize
 
+SAMPLE = {1: 4000, 0: 10_000}  # labelled texts of each label that a model is learned from, at most
 LEXICON_SIZE = 5000  # most entries a model holds, the strongest first
 PREFIX_LENGTHS = (4, 5, 6, 7)
 MIN_CONTEXTS = 6  # different neighbours an entry needs in toxic documents
@@ -144,17 +147,21 @@ def _fit_curve(cells: list[tuple[float, float, int, int]]) -> tuple[float, float
     return tuple(float(v) for v in w)
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (entry, word, neighbours) of toxic texts."""
-    for batch in batches:
-        seen = set()
-        for text in batch.column(0):
-            words = _WORD.findall(fold(text.as_py()))
-            for before, word, after in zip(["", *words], words, [*words[1:], ""]):
-                for entry in _entries(word):
-                    seen.add((entry, word, f"{before} {after}"))
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*seen)], names=["entry", "word", "around"])
+def _contexts(sent):
+    """Distinct (entry, word, neighbours) of toxic texts, for entries sent."""
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = sent.value
+        for batch in batches:
+            seen = set()
+            for text in batch.column(0):
+                words = _WORD.findall(fold(text.as_py()))
+                for before, word, after in zip(["", *words], words, [*words[1:], ""]):
+                    seen.update((entry, word, f"{before} {after}") for entry in _entries(word) if entry in wanted)
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*seen)], names=["entry", "word", "around"])
+
+    return around
 
 
 def _holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,40 +207,43 @@ def _exception_phrases(sent):
 def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", size: int = LEXICON_SIZE) -> Model:
     """Learn a model from all rows of ``labelled`` with a text and a label 0 or 1; other rows are left out.
 
-    The counts of entries are Spark aggregations over all those rows; only the ``size`` strongest entries, the
-    exception phrases of those and the cells of the grid reach the driver.
+    The caller bounds the rows. Counts are Spark aggregations; the candidates for the lexicon (four times
+    ``size`` at most), its entries, the exception phrases and the cells of the grid reach the driver.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(
         F.col(text).alias("text"), F.col(label).cast("int").alias("label")
     )
-    toxic = rows.where("label = 1").select("text")
-    contexts = (
-        toxic.mapInArrow(_contexts, "entry string, word string, around string")
-        .distinct()
-        .groupBy("entry", "word")
-        .agg(F.count("*").alias("contexts"))
-        .groupBy("entry")
-        .agg(F.sum("contexts").alias("contexts"), F.count("*").alias("words"))
-        .where((F.col("contexts") >= MIN_CONTEXTS) & (F.col("entry").endswith(" ") | (F.col("words") >= MIN_WORDS)))
-    )
     holding = (
         rows.mapInArrow(_holding, "entry string, label int, n long")
         .groupBy("entry")
         .agg(F.sum(F.when(F.col("label") == 1, F.col("n"))).alias("toxic"), F.sum(F.when(F.col("label") == 0, F.col("n"))).alias("other"))
     )
-    numbers = rows.groupBy("label").count()
-    n = {r["label"]: r["count"] for r in numbers.collect()}  # two rows
+    n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # two rows
     rate = F.coalesce("toxic", F.lit(0)) / F.lit(max(1, n.get(1, 0)))
     against = (F.coalesce("other", F.lit(0)) + 0.5) / F.lit(max(1, n.get(0, 0)))
-    scored = (
-        contexts.join(holding, "entry")
-        .withColumn("odds", rate / against)
-        .where(F.col("odds") >= MIN_ODDS)
-        .orderBy(F.desc(F.least("contexts", F.col("odds"))), "entry")
+    likely = (
+        holding.withColumn("odds", rate / against)
+        .where((F.col("odds") >= MIN_ODDS) & (F.col("toxic") > 1))
+        .orderBy(F.desc("toxic"), "entry")
+        .limit(4 * size)
+        .select("entry", "odds")
+    )
+    odds = {r["entry"]: r["odds"] for r in likely.collect()}  # at most four times ``size`` rows
+    sent = rows.sparkSession.sparkContext.broadcast(frozenset(odds))
+    contexts = (
+        rows.where("label = 1")
+        .select("text")
+        .mapInArrow(_contexts(sent), "entry string, word string, around string")
+        .distinct()
+        .groupBy("entry", "word")
+        .agg(F.count("*").alias("contexts"))
+        .groupBy("entry")
+        .agg(F.sum("contexts").alias("contexts"), F.count("*").alias("words"))
+        .where((F.col("contexts") >= MIN_CONTEXTS) & (F.col("entry").endswith(" ") | (F.col("words") >= MIN_WORDS)))
+        .orderBy(F.desc("contexts"), "entry")
         .limit(size)
-        .select("entry", "contexts", "odds")
     )
-    found = {r["entry"]: (r["contexts"], float(np.log(r["odds"]))) for r in scored.collect()}  # at most ``size`` rows
+    found = {r["entry"]: (r["contexts"], float(np.log(odds[r["entry"]]))) for r in contexts.collect()}  # at most ``size`` rows
     # a longer entry that a beginning covers as well adds nothing
     covered = {
         e for e, (_, w) in found.items() for k in PREFIX_LENGTHS if e[: k + 1] != e and e[: k + 1] in found and found[e[: k + 1]][1] >= w - 1.5
@@ -267,7 +277,7 @@ def _featured(rows: DataFrame, model: Model, carried: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], a, b], names=[*carried, "a", "b"])
 
     wanted = rows.select("text", *carried)
-    schema = ", ".join([f"`{c}` {wanted.schema[c].dataType.simpleString()}" for c in carried] + ["a double", "b double"])
+    schema = T.StructType([*wanted.schema.fields[1:], T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
     return wanted.mapInArrow(add, schema)
 
 
@@ -291,8 +301,15 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit_from_labels(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from the labelled rows of ``docs`` that are not held out."""
-    marked = labels.where(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.where(~held_out()).select("doc_id", "text").join(marked, "doc_id").select("text", "toxic")
+def fit_from_labels(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> Model:
+    """A model from a sample of the labelled rows of ``docs`` that are not held out, ``sample`` of each label."""
+    marked = labels.where(~held_out() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    counts = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}  # two rows
+    share = lambda y: min(1.0, 1.3 * sample[y] / max(1, counts.get(y, 0)) + 0.001)
+    enough = F.when(F.col("toxic") == 1, F.lit(share(1))).otherwise(F.lit(share(0)))
+    few = marked.withColumn("order", hash_order(F.lit("toxic"), "doc_id")).where(hash_share("order") < enough)
+    rank = F.row_number().over(Window.partitionBy("toxic").orderBy("order"))
+    most = F.when(F.col("toxic") == 1, F.lit(sample[1])).otherwise(F.lit(sample[0]))
+    chosen = few.withColumn("rank", rank).where(F.col("rank") <= most).select("doc_id", "toxic")
+    rows = docs.where(~held_out()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     return fit(materialize(rows, "toxic-labelled"))
