@@ -122,6 +122,14 @@ def compare_to_cohort(
     )
 
 
+def comparison_summary(compared: DataFrame, alpha: float = fv.ALPHA) -> DataFrame:
+    """T3. Genes compared, and those that differ from the cohort at ``alpha``."""
+    in_range("alpha", alpha, 0, 1)
+    return compared.agg(
+        F.count("*").alias("genes_compared"), F.count_if(F.col("p_value") < alpha).alias("significantly_different")
+    )
+
+
 def percentile_rank(sample: DataFrame, cohort_expr: DataFrame) -> DataFrame:
     """T4. True share (percent) of cohort values at or below the sample value."""
     return compare_to_cohort(sample, cohort_expr).select("gene", "percentile")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotweave import fixed_values as fv
-from spotweave.functions.checks import in_range, need_columns
+from spotweave.functions.checks import in_range, need_columns, one_of
 from spotweave.functions.numeric import hypergeometric_upper
 from spotweave.operators.differential import adjust_pvalues
 
@@ -65,6 +65,23 @@ def enrich(
     return adjust_pvalues(enrich_fisher(overlap, genes, background, background_size))
 
 
+def enrich_database(
+    genes: DataFrame,
+    gene_sets: DataFrame,
+    database: str = "GO_BP",
+    background: DataFrame | None = None,
+    background_size: int = fv.BACKGROUND_GENES,
+) -> DataFrame:
+    """P4 within one database: ``gene_sets`` is ``database, pathway_id, pathway, gene``; the id stays beside the name."""
+    one_of("database", database, fv.GENE_SET_DATABASES)
+    need_columns(gene_sets, "database", "pathway_id", "pathway", "gene")
+    chosen = gene_sets.where(F.col("database") == database)
+    named = chosen.select(F.col("pathway_id").alias("pathway"), "gene")
+    names = chosen.groupBy(F.col("pathway_id")).agg(F.min("pathway").alias("name"))
+    found = enrich(genes, named, background, background_size).withColumnRenamed("pathway", "pathway_id")
+    return found.join(names, "pathway_id").withColumnRenamed("name", "pathway")
+
+
 def enrich_summary(enriched: DataFrame, p_value_cutoff: float = fv.ALPHA) -> DataFrame:
     in_range("p_value_cutoff", p_value_cutoff, 0, 1)
     return enriched.agg(

@@ -135,6 +135,15 @@ def call_significant(t):
     return D.differential_expression(t.de_obs, "wilcoxon")
 
 
+@query(
+    "most_significant", "rank:i gene:i p_adj:d6",
+    f"""with {_ADJUSTED}, placed as (select *, row_number() over (order by round(p_adj, 9), round(abs(log2_fold_change), 9) desc,
+        gene) as rank from called) select rank, gene, p_adj from placed where rank <= 20""",
+)
+def most_significant(t):
+    return D.most_significant(D.differential_expression(t.de_obs, "wilcoxon"), 20)
+
+
 @query(
     "top_genes", "gene:i log2_fold_change:d6",
     f"""with {_ADJUSTED} select * from called where significant and log2_fold_change > 0
@@ -314,6 +323,14 @@ def enrich(t):
     return P.enrich(t.gene_list, t.gene_sets, t.background)
 
 
+@query(
+    "enrich_database", "pathway_id:s pathway:s genes_in_pathway:i genes_overlapping:i p_value:d6 p_adj:d6",
+    f"with {_FISHER.replace('{gene_sets}', '{kegg_sets}')} select pathway as pathway_id, substr(pathway, 4) as pathway, * exclude (pathway) from ea",
+)
+def enrich_database(t):
+    return P.enrich_database(t.gene_list, t.database_sets, "KEGG", t.background)
+
+
 @query(
     "enrich_summary", "pathways_tested:i pathways_enriched:i top_pathway:s",
     f"""with {_FISHER} select count(*) as pathways_tested, count(*) filter (where p_adj < 0.05) as pathways_enriched,

@@ -55,6 +55,13 @@ BINDINGS: dict[str, str | tuple[str, str]] = {
                cast(sum(e.count) as double) + length(s.batch) * 5 + cast(substr(e.gene, 7) as int) % 3 * length(s.batch) as value
         from {brand_expr} e join {spots} s on e.spot_id = s.spot_id group by s.spot_id, e.gene, s.batch""",
     "gene_sets": "select distinct p_name as pathway, p_partkey as gene from {part}",
+    # every pathway belongs to one database
+    "database_sets": """
+        select distinct case length(p_name) % 4 when 0 then 'GO_BP' when 1 then 'KEGG' when 2 then 'Reactome' else 'Hallmark' end
+                        as database,
+               concat('id:', p_name) as pathway_id, p_name as pathway, p_partkey as gene
+        from {part}""",
+    "kegg_sets": "select pathway_id as pathway, gene from {database_sets} where database = 'KEGG'",
     "gene_list": "select distinct p_partkey as gene from {part} where p_size <= 10",
     "background": "select distinct p_partkey as gene from {part}",
     "tiles": """

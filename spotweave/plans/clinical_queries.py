@@ -87,6 +87,15 @@ def compare_z(t):
     return T.compare_to_cohort(t.sample_vector, t.cohort_expr)
 
 
+@query(
+    "comparison_summary", "genes_compared:i significantly_different:i",
+    f"""with {_COMPARED} select count(*) as genes_compared,
+        count(*) filter (where {normal_p_sql('z_score')} < 0.05) as significantly_different from cmp""",
+)
+def comparison_summary(t):
+    return T.comparison_summary(T.compare_to_cohort(t.sample_vector, t.cohort_expr))
+
+
 @query(
     "compare_wilcoxon", "gene:s p_value:d6",
     f"""with {_COMPARED}, r as (select gene, (u - n / 2) / sqrt(n::double * (n + 2) / 12) as z from cmp)
