@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from spotweave import fixed_values as fv
 from spotweave.functions.checks import in_range
@@ -19,7 +20,7 @@ from spotweave.functions.numeric import as_column
 from spotweave.functions.running import number_buckets
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _code_sum(lines: pd.Series) -> pd.Series:
     """Sum of the code points of each line, over the whole batch at once; NULL stays NULL."""
     known = lines.notna().to_numpy()
