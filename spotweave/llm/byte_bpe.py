@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 BLOCK_CHARS = 12 << 20  # a block holds whole texts and ends after so many characters
 CACHED_WORDS = 1_000_000  # encoded words a bucket keeps at hand; beyond it starts anew
-DECODE_TOKENS = 1 << 20  # tokens decoded at a time
+DECODE_TOKENS = 1 << 19  # tokens decoded at a time
+DOCS_AT_ONCE = 256  # texts of a block put together at a time
 WIDE = 0x250  # below this code point a faster, equal pattern serves
 
 # Fixed by the tokenizer: its word pattern and its white space.
@@ -198,12 +199,12 @@ def _reassemble(table: pa.Table) -> pa.Table:
     starts[slots], lengths[slots] = np.cumsum(sizes) - sizes, sizes
     ends = np.cumsum(per_doc)
     pieces, offsets, at, tokens = [], np.zeros(len(per_doc) + 1, np.int32), 0, 0
-    for first in range(0, len(per_doc), 4096):
-        upto = int(ends[min(first + 4096, len(per_doc)) - 1])
+    for first in range(0, len(per_doc), DOCS_AT_ONCE):
+        upto = int(ends[min(first + DOCS_AT_ONCE, len(per_doc)) - 1])
         here = seq[at:upto]
         size = lengths[here]
         total = np.concatenate([[0], np.cumsum(size)])
-        offsets[first + 1 : first + 4097] = tokens + total[ends[first : first + 4096] - at]
+        offsets[first + 1 : first + 1 + DOCS_AT_ONCE] = tokens + total[ends[first : first + DOCS_AT_ONCE] - at]
         pieces.append(flat[_spread(starts[here], size)])
         tokens, at = tokens + int(total[-1]), upto
     values = np.concatenate(pieces) if pieces else np.zeros(0, np.int32)
