@@ -3,9 +3,9 @@
 A document is its set of five-word shingles. Equal sets become one. In each of several independent trees a node
 chooses one or two coordinates of the MinHash signatures and its sets branch by their minimum there, so that
 similar sets keep meeting while others part. A small node compares all its sets. A large one compares its sets
-with a pivot; if all but a few are close to the pivot, those few are compared with every member and the node
-is done; else it branches on, without the members that all but equal the pivot. Candidates are confirmed on
-whole shingle sets. The trees are DataFrame joins and group-bys over (set, node) rows of sixteen bytes; no
+with some pivots; if all but a few are near to a pivot and the pivots hang together, those few are compared with
+every member and the node is done; else it branches on, without the members that all but equal a pivot.
+Candidates are confirmed on whole shingle sets. The trees are DataFrame joins and group-bys over (set, node) rows of sixteen bytes; no
 node of unbounded size is gathered in one place.
 """
 
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotweave.llm.common import components
@@ -25,11 +25,13 @@ from spotweave.session import fresh_path, materialize
 SHINGLE_WORDS = 5
 LEAST_PERCENT = 75
 COORDINATES = 64
-TREES = 12
-SMALL_NODE = 48  # such a node compares all its sets
-NEAR = 0.8  # estimated similarity to the pivot of those that need no comparison among themselves
+TREES = 16
+SMALL_NODE = 96  # such a node compares all its sets
+PIVOTS = 8  # sets of a larger node that all its sets are compared with
+NEAR = 0.75  # estimated similarity to a pivot of those that need no comparison among themselves
 SAME = 0.95  # of those that leave a large node with the pivot staying
-PLAUSIBLE = 0.5  # estimates of linked sets lie above this but for some 2 in a million
+FULL_NODES = 6  # large nodes of a level in which a set that no pivot covers is compared with all
+PLAUSIBLE = 0.55  # estimates of linked sets lie above this but for 1 in 10,000 of the least similar
 DEEPEST = 40  # nodes large after so many levels, of which none is expected, are compared in full
 _SEED = np.random.default_rng(20240501)
 _MULTIPLY = _SEED.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -115,7 +117,7 @@ def _branches(node: Column, signature_column: Column) -> Column:
         node, (c := F.pmod(F.xxhash64(node, F.lit(salt)), F.lit(COORDINATES)).cast("int")), F.element_at(signature_column, c + 1)
     )
     second = F.pmod(F.xxhash64(node, F.lit(17)), F.lit(3)) == 0
-    return F.when(second, F.array(child(1), child(2))).otherwise(F.array(child(1)))
+    return F.array_distinct(F.when(second, F.array(child(1), child(2))).otherwise(F.array(child(1))))
 
 
 def _estimate(a: Column, b: Column) -> Column:
@@ -128,6 +130,34 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _against_pivots(inside: DataFrame) -> DataFrame:
+    """Members of large nodes with the two closest of their node's pivots (``best``), whether one of them is near
+    (``covered``) and the near ones as bits (``reach``).
+
+    Pivots are drawn by hash, so that about twice as many as needed are gathered of a node of any size.
+    """
+    drawn = F.pmod(F.xxhash64("set_id", "node"), F.lit(1_000_003)) / F.lit(1_000_003.0) < F.lit(2.0 * PIVOTS) / F.col("m")
+    order = F.struct(F.xxhash64("node", "set_id").alias("h"), F.col("set_id").alias("id"), "signature")
+    pivots = inside.where(drawn).groupBy("node").agg(F.slice(F.sort_array(F.collect_list(order)), 1, PIVOTS).alias("pivots"))
+    seen = F.transform(
+        "pivots", lambda p, i: F.struct(_estimate(p["signature"], F.col("signature")).alias("near"), p["id"].alias("id"), i.alias("bit"))
+    )
+    best = F.slice(F.sort_array(F.coalesce(seen, F.array().cast("array<struct<near:double,id:bigint,bit:int>>")), asc=False), 1, 2)
+    close = lambda b: F.get("best", F.lit(b))["near"] >= NEAR
+    bit = lambda b: F.when(close(b), F.call_function("shiftleft", F.lit(1), F.get("best", F.lit(b))["bit"])).otherwise(0)
+    out = inside.join(pivots, "node", "left").select("set_id", "node", "signature", best.alias("best"))
+    return out.withColumn("covered", F.coalesce(close(0), F.lit(False))).withColumn("reach", F.coalesce(bit(0), F.lit(0)) + F.coalesce(bit(1), F.lit(0)))
+
+
+def _one_star(reaches: Column) -> Column:
+    """Whether the pivots that members are near to hang together through members near to two of them."""
+    everything = F.aggregate(reaches, F.lit(0), lambda a, r: a.bitwiseOR(r))
+    grow = lambda a: F.aggregate(reaches, a, lambda x, r: F.when(x.bitwiseAND(r) != 0, x.bitwiseOR(r)).otherwise(x))
+    lowest = everything.bitwiseAND(-everything)
+    reached = F.aggregate(F.sequence(F.lit(1), F.lit(PIVOTS)), lowest, lambda a, _: grow(a))
+    return reached == everything
+
+
 def candidate_pairs(sets: DataFrame, trees: int = TREES, small: int = SMALL_NODE) -> DataFrame:
     """Distinct (a, b), a < b, of set ids that met in a node of some tree; ``sets`` has set_id and signature.
 
@@ -143,9 +173,7 @@ def candidate_pairs(sets: DataFrame, trees: int = TREES, small: int = SMALL_NODE
     rows = sets.select("set_id", F.explode(F.flatten(F.transform(roots, lambda r: _branches(r, F.col("signature"))))).alias("node"))
     for depth in range(DEEPEST + 1):
         rows = materialize(rows, "paths")
-        chosen = F.min(F.struct(F.xxhash64("set_id", "node").alias("h"), "set_id"))
-        nodes = rows.groupBy("node").agg(F.count("*").alias("m"), chosen["set_id"].alias("pivot")).where("m > 1")
-        nodes = materialize(nodes, "nodes")
+        nodes = materialize(rows.groupBy("node").agg(F.count("*").alias("m")).where("m > 1"), "nodes")
         leaves = nodes.where(F.col("m") <= small).select("node")
         members = rows.join(leaves, "node").groupBy("node").agg(F.sort_array(F.collect_list("set_id")).alias("ids"))
         pairs = F.flatten(
@@ -155,25 +183,27 @@ def candidate_pairs(sets: DataFrame, trees: int = TREES, small: int = SMALL_NODE
         crowded = nodes.where(F.col("m") > small)
         if crowded.limit(1).count() == 0:
             break
-        pivots = crowded.join(sets.select(F.col("set_id").alias("pivot"), F.col("signature").alias("pivot_signature")), "pivot")
-        inside = rows.join(pivots, "node").join(sets.select("set_id", "signature"), "set_id")
-        inside = inside.withColumn("near", _estimate(F.col("signature"), F.col("pivot_signature"))).drop("pivot_signature", "m")
-        inside = materialize(inside, "crowded")
-        far = inside.groupBy("node").agg(
-            F.sum(F.when(F.col("near") < NEAR, 1).otherwise(0)).alias("far"),
-        )
-        far = materialize(far, "far")
-        to_pivot = inside.where((F.col("set_id") != F.col("pivot")) & (F.col("near") >= PLAUSIBLE)).select(*_pair("set_id", "pivot"))
+        inside = materialize(rows.join(crowded, "node").join(sets.select("set_id", "signature"), "set_id"), "crowded")
         if depth == DEEPEST:
             others = inside.select("node", F.col("set_id").alias("other"))
             keep(inside.join(others, "node").where("set_id < other").select(*_pair("set_id", "other")))
             break
-        done = far.where(F.col("far") <= small).select("node")
-        few = inside.where(F.col("near") < NEAR).join(done, "node").groupBy("node").agg(F.collect_list("set_id").alias("few"))
-        against = inside.join(few, "node").select("set_id", F.explode("few").alias("other")).where("set_id <> other")
-        keep(to_pivot.unionByName(against.select(*_pair("set_id", "other"))))
-        go_on = inside.join(far.where(F.col("far") > small).select("node"), "node")
-        go_on = go_on.where((F.col("near") < SAME) | (F.col("set_id") == F.col("pivot")))
+        inside = materialize(_against_pivots(inside), "against-pivots")
+        ways = inside.groupBy("node").agg(F.count_if(~F.col("covered")).alias("far"), F.collect_set("reach").alias("reaches"))
+        ways = materialize(ways.select("node", ((F.col("far") <= small) & _one_star(F.col("reaches"))).alias("done")), "ways")
+        best = inside.select("set_id", F.explode("best").alias("p")).where(F.col("p.id") != F.col("set_id"))
+        keep(best.where(F.col("p.near") >= PLAUSIBLE).select("set_id", F.col("p.id").alias("other")).select(*_pair("set_id", "other")))
+        # the few that no pivot covers are compared with every member, in some of the nodes where that is so
+        done = ways.where("done").select("node")
+        turn = F.row_number().over(Window.partitionBy("set_id").orderBy(F.xxhash64("node", "set_id")))
+        few = inside.where(~F.col("covered")).join(done, "node").withColumn("turn", turn).where(F.col("turn") <= FULL_NODES)
+        few = few.groupBy("node").agg(F.collect_list(F.struct("set_id", "signature")).alias("few"))
+        alike = lambda f: (f["set_id"] != F.col("set_id")) & (_estimate(f["signature"], F.col("signature")) >= PLAUSIBLE)
+        met = inside.join(few, "node").select("set_id", F.explode(F.transform(F.filter("few", alike), lambda f: f["set_id"])).alias("other"))
+        keep(met.select(*_pair("set_id", "other")))
+        go_on = inside.join(ways.where(~F.col("done")).select("node"), "node")
+        closest = F.get("best", F.lit(0))
+        go_on = go_on.where(F.coalesce((closest["near"] < SAME) | (closest["id"] == F.col("set_id")), F.lit(True)))
         # two branchings at a time: large nodes need several anyway
         once = go_on.select("set_id", "signature", F.explode(_branches(F.col("node"), F.col("signature"))).alias("node"))
         rows = once.select("set_id", F.explode(_branches(F.col("node"), F.col("signature"))).alias("node"))
@@ -205,12 +235,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     side = lambda s: sets.select(F.col("set_id").alias(s), F.col("signature").alias(f"{s}_signature"), F.col("n").alias(f"{s}_n"))
     # the smaller set must reach the share of the larger, and the estimate must be plausible
     sizes_fit = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * LEAST_PERCENT
-    plausible = (
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
-        .where(sizes_fit & (_estimate(F.col("a_signature"), F.col("b_signature")) >= PLAUSIBLE))
-        .select("a", "b", "a_n", "b_n")
-    )
+    near = _estimate(F.col("a_signature"), F.col("b_signature"))
+    plausible = pairs.join(side("a"), "a").join(side("b"), "b").where(sizes_fit).withColumn("near", near)
+    plausible = plausible.where(F.col("near") >= PLAUSIBLE).select("a", "b", "a_n", "b_n", "near")
     plausible = materialize(plausible, "plausible-pairs")
 
     wanted = plausible.select(F.col("a").alias("set_id")).unionByName(plausible.select(F.col("b").alias("set_id"))).distinct()
@@ -222,13 +249,29 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     whole = materialize(texts.mapInArrow(_whole_sets, "set_id long, shingles array<long>"), "whole-sets")
     whole = whole.dropDuplicates(["set_id"])
     shared = F.size(F.array_intersect("a_set", "b_set")).cast("long")
-    confirmed = (
-        plausible.join(whole.select(F.col("set_id").alias("a"), F.col("shingles").alias("a_set")), "a")
-        .join(whole.select(F.col("set_id").alias("b"), F.col("shingles").alias("b_set")), "b")
-        .where(shared * 100 >= (F.col("a_n") + F.col("b_n") - shared) * LEAST_PERCENT)
-        .select("a", "b")
+
+    def confirmed(some: DataFrame, label: str) -> DataFrame:
+        """Those pairs that whole sets confirm."""
+        held = some.join(whole.select(F.col("set_id").alias("a"), F.col("shingles").alias("a_set")), "a")
+        held = held.join(whole.select(F.col("set_id").alias("b"), F.col("shingles").alias("b_set")), "b")
+        return materialize(held.where(shared * 100 >= (F.col("a_n") + F.col("b_n") - shared) * LEAST_PERCENT).select("a", "b"), label)
+
+    # every set's most similar partner first; then the pairs that would still join two components
+    ends = plausible.select(F.col("a").alias("x"), "near", "a", "b", "a_n", "b_n").unionByName(
+        plausible.select(F.col("b").alias("x"), "near", "a", "b", "a_n", "b_n")
     )
-    joined = materialize(components(confirmed, "near-links"), "near-components")
+    first = ends.groupBy("x").agg(F.max(F.struct("near", "a", "b", "a_n", "b_n")).alias("p")).select("p.a", "p.b", "p.a_n", "p.b_n")
+    first = materialize(first.distinct(), "closest-pairs")
+    links = confirmed(first, "first-links")
+    part = materialize(components(links, "near-links"), "near-components")
+    of = lambda end: part.select(F.col("id").alias(end), F.col("component_id").alias(f"{end}_part"))
+    between = plausible.join(first.select("a", "b"), ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    between = between.withColumn("a_part", F.coalesce("a_part", "a")).withColumn("b_part", F.coalesce("b_part", "b"))
+    between = materialize(between.where("a_part <> b_part").select("a", "b", "a_n", "b_n"), "between-parts")
+    joined = part
+    if between.limit(1).count():
+        more = confirmed(between, "more-links")
+        joined = materialize(components(links.unionByName(more), "near-links"), "near-components")
     classes = sets.join(joined.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn(
         "class", F.coalesce("component_id", "set_id")
     )
