@@ -26,7 +26,7 @@ SHINGLE_WORDS = 5
 LEAST_PERCENT = 75
 COORDINATES = 64
 TREES = 16
-SMALL_NODE = 96  # such a node compares all its sets
+SMALL_NODE = 32  # such a node compares all its sets
 PIVOTS = 8  # sets of a larger node that all its sets are compared with
 NEAR = 0.75  # estimated similarity to a pivot of those that need no comparison among themselves
 SAME = 0.95  # of those that leave a large node with the pivot staying
