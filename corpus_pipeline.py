@@ -4,7 +4,8 @@ A stage is a function of (spark, docs, sf_dir); all but the last return the colu
 
 1. toxicity: fits the lexicon on the labelled documents that reach it and drops those it scores as toxic.
 2. language: fits the field on the documents' languages and drops texts it can't tell: without a letter, or
-   with a mean word probability below LEAST_SURE.
+   whose words' own likeliest languages have a mean probability below LEAST_SURE. A text that switches between
+   languages stays if its words can be told.
 3. near_dedup: keeps one document of every component of near duplicates.
 4. mixing: repeats and leaves out documents so that sources meet their target weights.
 5. byte_bpe: encodes and decodes every text; ids and bytes come out as digests.
@@ -44,8 +45,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told."""
     model = lang.fit(docs.where(~lang.held_out()))
-    told = lang.identify(_whole_rows(docs), model, carried=["row"])
-    return told.where((F.col("_lang") != lang.UNDETERMINED) & (F.col("_score") >= LEAST_SURE)).select("row.*")
+    told = lang.identify(_whole_rows(docs), model, carried=["row"], sure=True)
+    return told.where((F.col("_lang") != lang.UNDETERMINED) & (F.col("_sure") >= LEAST_SURE)).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

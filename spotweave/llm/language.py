@@ -76,7 +76,12 @@ def _scaled(values: np.ndarray) -> np.ndarray:
 
 
 def posterior_means(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Mean of the words' distributions for each of several texts, whose words' scores stand one after another.
+    """Mean of the words' distributions for each of several texts, whose words' scores stand one after another."""
+    return posteriors(scores, lengths, transitions, start)[0]
+
+
+def posteriors(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean of the words' distributions, and of the words' highest probabilities, for each of several texts.
 
     Texts are cut into blocks. All blocks' products of transition matrices are formed at once, carried from
     block to block within each text, and then the words of all blocks are passed forward and backward at
@@ -142,18 +147,20 @@ def posterior_means(scores: np.ndarray, lengths: np.ndarray, transitions: np.nda
         w = (forward[:, t - 1] @ step) * local[:, t]
         w /= np.maximum(w.sum(1, keepdims=True), 1e-300)
         forward[:, t] = np.where(real[:, t, None], w, forward[:, t - 1])
-    sums = np.zeros((total, k))
+    sums, tops = np.zeros((total, k)), np.zeros(total)
     back = after
     for t in range(BLOCK - 1, -1, -1):
         p = forward[:, t] * back
         p /= np.maximum(p.sum(1, keepdims=True), 1e-300)
         sums += np.where(real[:, t, None], p, 0.0)
+        tops += np.where(real[:, t], p.max(1), 0.0)
         w = (local[:, t] * back) @ step.T
         w /= np.maximum(w.sum(1, keepdims=True), 1e-300)
         back = np.where(real[:, t, None], w, back)
-    out = np.zeros((n, k))
+    out, sure = np.zeros((n, k)), np.zeros(n)
     np.add.at(out, text_of, sums)
-    return out / np.maximum(lengths, 1)[:, None]
+    np.add.at(sure, text_of, tops)
+    return out / np.maximum(lengths, 1)[:, None], sure / np.maximum(lengths, 1)
 
 
 def _gradient_pass(e: np.ndarray, y: np.ndarray, transitions: np.ndarray, start: np.ndarray):
@@ -271,10 +278,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
     return fit_sample([(r["text"], r["lang"]) for r in sample.select("text", "lang").collect()])
 
 
-def identify(docs: DataFrame, model: Field, text: str = "text", carried: list[str] | None = None) -> DataFrame:
-    """The ``carried`` columns (all, if not named) of every row, ``_lang`` and ``_score``.
+def identify(docs: DataFrame, model: Field, text: str = "text", carried: list[str] | None = None, sure: bool = False) -> DataFrame:
+    """The ``carried`` columns (all, if not named) of every row, ``_lang`` and ``_score``, and ``_sure`` if asked for.
 
-    ``_score`` is the mean probability of ``_lang`` over the words. A text that is null or has no letter, and any
+    ``_score`` is the mean probability of ``_lang`` over the words, ``_sure`` that of each word's own likeliest language. A text that is null or has no letter, and any
     text if no language was learned, gets `und` and 0. Ties go to the language first in code-point order. Rows
     that repeat get equal answers; an empty table gives an empty one; texts are read whole.
     """
@@ -302,13 +309,14 @@ def identify(docs: DataFrame, model: Field, text: str = "text", carried: list[st
                 known.update(zip(part, range(at, at + len(part))))
             return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
-        def scored(texts: list[list[str]]) -> np.ndarray:
+        def scored(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
             lengths = np.array([len(w) for w in texts])
             at = numbers([w for words in texts for w in words])
-            return posterior_means(table[at], lengths, field.transitions, field.start)
+            return posteriors(table[at], lengths, field.transitions, field.start)
 
         for batch in batches:
             langs, scores = np.full(batch.num_rows, UNDETERMINED, object), np.zeros(batch.num_rows)
+            certain = np.zeros(batch.num_rows)
             waiting, places, size = [], [], 0
             for i, value in enumerate(batch.column(0)):
                 words = _WORD.findall((value.as_py() or "").lower()) if field.langs else []
@@ -317,20 +325,23 @@ def identify(docs: DataFrame, model: Field, text: str = "text", carried: list[st
                     places.append(i)
                     size += len(words)
                 if waiting and (size >= BATCH_WORDS or i == batch.num_rows - 1):
-                    means = scored(waiting)
+                    means, own = scored(waiting)
                     best = means.argmax(1)
                     langs[places] = np.array(field.langs, object)[best]
                     scores[places] = np.clip(means[np.arange(len(best)), best], 0, 1)
+                    certain[places] = np.clip(own, 0, 1)
                     waiting, places, size = [], [], 0
             if waiting:
-                means = scored(waiting)
+                means, own = scored(waiting)
                 best = means.argmax(1)
                 langs[places] = np.array(field.langs, object)[best]
                 scores[places] = np.clip(means[np.arange(len(best)), best], 0, 1)
+                certain[places] = np.clip(own, 0, 1)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(langs.tolist(), pa.string()), pa.array(scores)], names=[*names.values(), "_lang", "_score"]
+                [*batch.columns[1:], pa.array(langs.tolist(), pa.string()), pa.array(scores), pa.array(certain)],
+                names=[*names.values(), "_lang", "_score", "_sure"],
             )
 
-    told = [T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())]
+    told = [T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_sure", T.DoubleType())]
     out = rows.mapInArrow(label, T.StructType([*rows.schema.fields[1:], *told]))
-    return out.select(*[F.col(n).alias(c) for c, n in names.items()], "_lang", "_score")
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()], "_lang", "_score", *(["_sure"] if sure else []))
