@@ -2,9 +2,10 @@
 
 A document is its set of five-word shingles. Equal sets become one. In each of several independent trees a node
 chooses one or two coordinates of the MinHash signatures and its sets branch by their minimum there, so that
-similar sets keep meeting while others part. A small node compares all its sets. A large one compares its sets
-with some pivots; if all but a few are near to a pivot and the pivots hang together, those few are compared with
-every member and the node is done; else it branches on, without the members that all but equal a pivot.
+similar sets keep meeting while others part. A small node compares all its sets. A large one estimates its sets'
+similarity to some pivots, and the closest pairs are confirmed on whole sets. If all but a few of its sets hang
+together by links confirmed so far, those few are compared with every member and the node is done; else it
+branches on, without the members that all but equal a pivot.
 Candidates are confirmed on whole shingle sets. The trees are DataFrame joins and group-bys over (set, node) rows of sixteen bytes; no
 node of unbounded size is gathered in one place.
 """
@@ -28,7 +29,7 @@ COORDINATES = 64
 TREES = 16
 SMALL_NODE = 32  # such a node compares all its sets
 PIVOTS = 8  # sets of a larger node that all its sets are compared with
-NEAR = 0.75  # estimated similarity to a pivot of those that need no comparison among themselves
+NEAR = 0.7  # estimates from which a level confirms sets' closest pivots; other pairs wait for the end
 SAME = 0.95  # of those that leave a large node with the pivot staying
 FULL_NODES = 6  # large nodes of a level in which a set that no pivot covers is compared with all
 PLAUSIBLE = 0.55  # estimates of linked sets lie above this but for 1 in 10,000 of the least similar
@@ -130,41 +131,94 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+class _WholeSets:
+    """Whole shingle sets of the sets asked for, written once each, and the pairs that they confirm."""
+
+    def __init__(self, rows: DataFrame, described: DataFrame, sets: DataFrame):
+        # one row per set: of the rows with its key, any text will do
+        holders = described.where("doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("c"))
+        self.rows, self.holders, self.keys = rows, holders, sets.select("set_id", "set_key")
+        self.held: DataFrame | None = None
+
+    def fetch(self, wanted: DataFrame) -> None:
+        """Hold the sets of the column set_id too."""
+        new = wanted.distinct()
+        if self.held is not None:
+            new = new.join(self.held.select("set_id"), "set_id", "left_anti")
+        new = materialize(new, "wanted-sets")
+        if not new.limit(1).count():
+            return
+        owners = self.keys.join(new, "set_id").join(self.holders, "set_key").select("set_id", "set_key", "doc_id")
+        texts = self.rows.join(owners, "doc_id").select("set_id", "set_key", "text")
+        whole = materialize(texts.mapInArrow(_whole_sets, "set_id long, shingles array<long>"), "whole-sets")
+        self.held = whole if self.held is None else self.held.unionByName(whole)
+
+    def both_held(self, pairs: DataFrame) -> DataFrame:
+        """Those pairs (a, b) whose sets are held."""
+        ids = self.held.select("set_id").distinct()
+        return pairs.join(ids.withColumnRenamed("set_id", "a"), "a", "left_semi").join(ids.withColumnRenamed("set_id", "b"), "b", "left_semi")
+
+    def confirm(self, pairs: DataFrame, label: str) -> DataFrame:
+        """Those pairs (a, b), of sets that are held, that are linked."""
+        whole = self.held.dropDuplicates(["set_id"])
+        both = pairs.join(whole.select(F.col("set_id").alias("a"), F.col("shingles").alias("a_set")), "a")
+        both = both.join(whole.select(F.col("set_id").alias("b"), F.col("shingles").alias("b_set")), "b")
+        shared, sizes = F.size(F.array_intersect("a_set", "b_set")).cast("long"), F.size("a_set") + F.size("b_set")
+        return materialize(both.where(shared * (100 + LEAST_PERCENT) >= sizes * LEAST_PERCENT).select("a", "b"), label)
+
+
+def _with_part(frame: DataFrame, parts: DataFrame | None, end: str, part: str) -> DataFrame:
+    """``frame`` with the part of the set in its column ``end``: its component so far, or itself."""
+    if parts is None:
+        return frame.withColumn(part, F.col(end))
+    named = parts.select(F.col("id").alias(end), F.col("component_id").alias(part))
+    return frame.join(named, end, "left").withColumn(part, F.coalesce(part, end))
+
+
+def _joined(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Parts after more links."""
+    if parts is not None:
+        links = links.unionByName(parts.select(F.col("id").alias("a"), F.col("component_id").alias("b")))
+    return materialize(components(links, "near-links"), "near-components")
+
+
+def _closest(pairs: DataFrame) -> DataFrame:
+    """Of (a, b, near) every set's most similar pair."""
+    ends = pairs.select(F.col("a").alias("x"), "near", "a", "b").unionByName(pairs.select(F.col("b").alias("x"), "near", "a", "b"))
+    return ends.groupBy("x").agg(F.max(F.struct("near", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+
+
 def _against_pivots(inside: DataFrame) -> DataFrame:
-    """Members of large nodes with the two closest of their node's pivots (``best``), whether one of them is near
-    (``covered``) and the near ones as bits (``reach``).
+    """Members of large nodes with the two closest others of their node's pivots (``best``).
 
     Pivots are drawn by hash, so that about twice as many as needed are gathered of a node of any size.
     """
     drawn = F.pmod(F.xxhash64("set_id", "node"), F.lit(1_000_003)) / F.lit(1_000_003.0) < F.lit(2.0 * PIVOTS) / F.col("m")
     order = F.struct(F.xxhash64("node", "set_id").alias("h"), F.col("set_id").alias("id"), "signature")
     pivots = inside.where(drawn).groupBy("node").agg(F.slice(F.sort_array(F.collect_list(order)), 1, PIVOTS).alias("pivots"))
-    seen = F.transform(
-        "pivots", lambda p, i: F.struct(_estimate(p["signature"], F.col("signature")).alias("near"), p["id"].alias("id"), i.alias("bit"))
-    )
-    best = F.slice(F.sort_array(F.coalesce(seen, F.array().cast("array<struct<near:double,id:bigint,bit:int>>")), asc=False), 1, 2)
-    close = lambda b: F.get("best", F.lit(b))["near"] >= NEAR
-    bit = lambda b: F.when(close(b), F.call_function("shiftleft", F.lit(1), F.get("best", F.lit(b))["bit"])).otherwise(0)
-    out = inside.join(pivots, "node", "left").select("set_id", "node", "signature", best.alias("best"))
-    return out.withColumn("covered", F.coalesce(close(0), F.lit(False))).withColumn("reach", F.coalesce(bit(0), F.lit(0)) + F.coalesce(bit(1), F.lit(0)))
-
+    others = F.filter("pivots", lambda p: p["id"] != F.col("set_id"))
+    seen = F.transform(others, lambda p: F.struct(_estimate(p["signature"], F.col("signature")).alias("near"), p["id"].alias("id")))
+    best = F.slice(F.sort_array(F.coalesce(seen, F.array().cast("array<struct<near:double,id:bigint>>")), asc=False), 1, 2)
+    return inside.join(pivots, "node", "left").select("set_id", "node", "signature", best.alias("best"))
 
-def _one_star(reaches: Column) -> Column:
-    """Whether the pivots that members are near to hang together through members near to two of them."""
-    everything = F.aggregate(reaches, F.lit(0), lambda a, r: a.bitwiseOR(r))
-    grow = lambda a: F.aggregate(reaches, a, lambda x, r: F.when(x.bitwiseAND(r) != 0, x.bitwiseOR(r)).otherwise(x))
-    lowest = everything.bitwiseAND(-everything)
-    reached = F.aggregate(F.sequence(F.lit(1), F.lit(PIVOTS)), lowest, lambda a, _: grow(a))
-    return reached == everything
 
-
-def candidate_pairs(sets: DataFrame, trees: int = TREES, small: int = SMALL_NODE) -> DataFrame:
-    """Distinct (a, b), a < b, of set ids that met in a node of some tree; ``sets`` has set_id and signature.
+def candidate_pairs(
+    sets: DataFrame, whole: _WholeSets, trees: int = TREES, small: int = SMALL_NODE
+) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct (a, b), a < b, of set ids that met in a node of some tree and are not known to hang together, and
+    the components (id, component_id) known from confirmed links, if any; ``sets`` has set_id and signature.
 
     Every level reads and writes tables, so plans stay short however deep the trees go.
     """
     spark = sets.sparkSession
     path = fresh_path(spark, "candidate-pairs")
+    parts = None
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Those pairs whose sets are not known to hang together."""
+        if parts is None:
+            return pairs
+        return _with_part(_with_part(pairs, parts, "a", "a_part"), parts, "b", "b_part").where("a_part <> b_part").drop("a_part", "b_part")
 
     def keep(pairs: DataFrame) -> None:
         pairs.distinct().write.mode("append").parquet(path)
@@ -174,40 +228,56 @@ def candidate_pairs(sets: DataFrame, trees: int = TREES, small: int = SMALL_NODE
     for depth in range(DEEPEST + 1):
         rows = materialize(rows, "paths")
         nodes = materialize(rows.groupBy("node").agg(F.count("*").alias("m")).where("m > 1"), "nodes")
-        leaves = nodes.where(F.col("m") <= small).select("node")
-        members = rows.join(leaves, "node").groupBy("node").agg(F.sort_array(F.collect_list("set_id")).alias("ids"))
-        pairs = F.flatten(
-            F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, small), lambda y: F.struct(x.alias("a"), y.alias("b"))))
-        )
-        keep(members.select(F.explode(pairs).alias("p")).select("p.*"))
         crowded = nodes.where(F.col("m") > small)
-        if crowded.limit(1).count() == 0:
+        more = crowded.limit(1).count() > 0
+        if more:
+            inside = materialize(rows.join(crowded, "node").join(sets.select("set_id", "signature"), "set_id"), "crowded")
+        if more and depth < DEEPEST:
+            inside = materialize(_against_pivots(inside), "against-pivots")
+            best = inside.select("set_id", F.explode("best").alias("p")).where(F.col("p.near") >= PLAUSIBLE)
+            pairs = best.select("set_id", F.col("p.id").alias("other"), "p.near").select(*_pair("set_id", "other"), "near")
+            pairs = materialize(pairs.distinct(), "pivot-pairs")
+            if depth & (depth - 1) == 0:  # at levels ever farther apart, as each time reads all texts
+                whole.fetch(pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))))
+            if whole.held is not None:
+                chosen = materialize(_closest(whole.both_held(apart(pairs.where(F.col("near") >= NEAR)))), "closest-pivots")
+                links = whole.confirm(chosen, "pivot-links")
+                if links.limit(1).count():
+                    parts = _joined(parts, links)
+                pairs = apart(pairs.join(chosen, ["a", "b"], "left_anti"))
+            keep(pairs.select("a", "b"))
+        leaves = nodes.where(F.col("m") <= small).select("node")
+        members = _with_part(rows.join(leaves, "node"), parts, "set_id", "part").groupBy("node")
+        members = members.agg(F.sort_array(F.collect_list(F.struct("set_id", "part"))).alias("ids"))
+        after = lambda x, i: F.filter(F.slice("ids", i + 2, small), lambda y: y["part"] != x["part"])
+        met = F.flatten(F.transform("ids", lambda x, i: F.transform(after(x, i), lambda y: F.struct(x["set_id"].alias("a"), y["set_id"].alias("b")))))
+        keep(members.select(F.explode(met).alias("p")).select("p.*"))
+        if not more:
             break
-        inside = materialize(rows.join(crowded, "node").join(sets.select("set_id", "signature"), "set_id"), "crowded")
         if depth == DEEPEST:
             others = inside.select("node", F.col("set_id").alias("other"))
-            keep(inside.join(others, "node").where("set_id < other").select(*_pair("set_id", "other")))
+            keep(apart(inside.join(others, "node").where("set_id < other").select(*_pair("set_id", "other"))))
             break
-        inside = materialize(_against_pivots(inside), "against-pivots")
-        ways = inside.groupBy("node").agg(F.count_if(~F.col("covered")).alias("far"), F.collect_set("reach").alias("reaches"))
-        ways = materialize(ways.select("node", ((F.col("far") <= small) & _one_star(F.col("reaches"))).alias("done")), "ways")
-        best = inside.select("set_id", F.explode("best").alias("p")).where(F.col("p.id") != F.col("set_id"))
-        keep(best.where(F.col("p.near") >= PLAUSIBLE).select("set_id", F.col("p.id").alias("other")).select(*_pair("set_id", "other")))
-        # the few that no pivot covers are compared with every member, in some of the nodes where that is so
-        done = ways.where("done").select("node")
+        # a node is done if all but a few hang together by confirmed links; those few are compared with every member
+        inside = _with_part(inside, parts, "set_id", "part")
+        sizes = inside.groupBy("node", "part").agg(F.count("*").alias("c")).groupBy("node")
+        ways = sizes.agg(F.sum("c").alias("m"), F.max(F.struct("c", "part")).alias("most"))
+        ways = materialize(ways.select("node", F.col("most.part").alias("main"), (F.col("m") - F.col("most.c") <= small).alias("done")), "ways")
+        few = inside.join(ways.where("done"), "node").where("part <> main")
         turn = F.row_number().over(Window.partitionBy("set_id").orderBy(F.xxhash64("node", "set_id")))
-        few = inside.where(~F.col("covered")).join(done, "node").withColumn("turn", turn).where(F.col("turn") <= FULL_NODES)
-        few = few.groupBy("node").agg(F.collect_list(F.struct("set_id", "signature")).alias("few"))
-        alike = lambda f: (f["set_id"] != F.col("set_id")) & (_estimate(f["signature"], F.col("signature")) >= PLAUSIBLE)
+        few = few.withColumn("turn", turn).where(F.col("turn") <= FULL_NODES)
+        few = few.groupBy("node").agg(F.collect_list(F.struct("set_id", "signature", "part")).alias("few"))
+        alike = lambda f: (f["part"] != F.col("part")) & (_estimate(f["signature"], F.col("signature")) >= PLAUSIBLE)
         met = inside.join(few, "node").select("set_id", F.explode(F.transform(F.filter("few", alike), lambda f: f["set_id"])).alias("other"))
         keep(met.select(*_pair("set_id", "other")))
         go_on = inside.join(ways.where(~F.col("done")).select("node"), "node")
         closest = F.get("best", F.lit(0))
-        go_on = go_on.where(F.coalesce((closest["near"] < SAME) | (closest["id"] == F.col("set_id")), F.lit(True)))
+        # of two that all but equal each other, the smaller id stays
+        go_on = go_on.where(F.coalesce((closest["near"] < SAME) | (closest["id"] > F.col("set_id")), F.lit(True)))
         # two branchings at a time: large nodes need several anyway
         once = go_on.select("set_id", "signature", F.explode(_branches(F.col("node"), F.col("signature"))).alias("node"))
         rows = once.select("set_id", F.explode(_branches(F.col("node"), F.col("signature"))).alias("node"))
-    return spark.read.schema("a long, b long").parquet(path).distinct()
+    return apart(spark.read.schema("a long, b long").parquet(path).distinct()), parts
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", trees: int = TREES) -> DataFrame:
@@ -231,50 +301,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         .withColumn("set_id", F.monotonically_increasing_id())
     )
     sets = materialize(sets, "sets")  # written, so the ids stay
-    pairs = candidate_pairs(sets.select("set_id", "signature"), trees)
+    whole = _WholeSets(rows, described, sets)
+    pairs, part = candidate_pairs(sets.select("set_id", "signature"), whole, trees)
     side = lambda s: sets.select(F.col("set_id").alias(s), F.col("signature").alias(f"{s}_signature"), F.col("n").alias(f"{s}_n"))
     # the smaller set must reach the share of the larger, and the estimate must be plausible
     sizes_fit = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * LEAST_PERCENT
     near = _estimate(F.col("a_signature"), F.col("b_signature"))
     plausible = pairs.join(side("a"), "a").join(side("b"), "b").where(sizes_fit).withColumn("near", near)
-    plausible = plausible.where(F.col("near") >= PLAUSIBLE).select("a", "b", "a_n", "b_n", "near")
-    plausible = materialize(plausible, "plausible-pairs")
-
-    wanted = plausible.select(F.col("a").alias("set_id")).unionByName(plausible.select(F.col("b").alias("set_id"))).distinct()
-    keyed = sets.join(wanted, "set_id").select("set_id", "set_key")
-    # one row per set: of the rows with its key, any text will do
-    holders = described.where("doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("c"))
-    owners = keyed.join(holders, "set_key").select("set_id", "set_key", "doc_id")
-    texts = rows.join(owners, "doc_id").select("set_id", "set_key", "text")
-    whole = materialize(texts.mapInArrow(_whole_sets, "set_id long, shingles array<long>"), "whole-sets")
-    whole = whole.dropDuplicates(["set_id"])
-    shared = F.size(F.array_intersect("a_set", "b_set")).cast("long")
-
-    def confirmed(some: DataFrame, label: str) -> DataFrame:
-        """Those pairs that whole sets confirm."""
-        held = some.join(whole.select(F.col("set_id").alias("a"), F.col("shingles").alias("a_set")), "a")
-        held = held.join(whole.select(F.col("set_id").alias("b"), F.col("shingles").alias("b_set")), "b")
-        return materialize(held.where(shared * 100 >= (F.col("a_n") + F.col("b_n") - shared) * LEAST_PERCENT).select("a", "b"), label)
-
-    # every set's most similar partner first; then the pairs that would still join two components
-    ends = plausible.select(F.col("a").alias("x"), "near", "a", "b", "a_n", "b_n").unionByName(
-        plausible.select(F.col("b").alias("x"), "near", "a", "b", "a_n", "b_n")
-    )
-    first = ends.groupBy("x").agg(F.max(F.struct("near", "a", "b", "a_n", "b_n")).alias("p")).select("p.a", "p.b", "p.a_n", "p.b_n")
-    first = materialize(first.distinct(), "closest-pairs")
-    links = confirmed(first, "first-links")
-    part = materialize(components(links, "near-links"), "near-components")
-    of = lambda end: part.select(F.col("id").alias(end), F.col("component_id").alias(f"{end}_part"))
-    between = plausible.join(first.select("a", "b"), ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    between = between.withColumn("a_part", F.coalesce("a_part", "a")).withColumn("b_part", F.coalesce("b_part", "b"))
-    between = materialize(between.where("a_part <> b_part").select("a", "b", "a_n", "b_n"), "between-parts")
-    joined = part
-    if between.limit(1).count():
-        more = confirmed(between, "more-links")
-        joined = materialize(components(links.unionByName(more), "near-links"), "near-components")
-    classes = sets.join(joined.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn(
-        "class", F.coalesce("component_id", "set_id")
-    )
+    plausible = materialize(plausible.where(F.col("near") >= PLAUSIBLE).select("a", "b", "near"), "plausible-pairs")
+    whole.fetch(plausible.select(F.col("a").alias("set_id")).unionByName(plausible.select(F.col("b").alias("set_id"))))
+    if whole.held is not None:
+        # every set's most similar partner first; then the pairs that would still join two components
+        first = materialize(_closest(whole.both_held(plausible)), "closest-pairs")
+        part = _joined(part, whole.confirm(first, "first-links"))
+        between = _with_part(_with_part(plausible.join(first, ["a", "b"], "left_anti"), part, "a", "a_part"), part, "b", "b_part")
+        between = materialize(between.where("a_part <> b_part").select("a", "b"), "between-parts")
+        if between.limit(1).count():
+            part = _joined(part, whole.confirm(between, "more-links"))
+    classes = _with_part(sets, part, "set_id", "class")
     smallest = classes.groupBy("class").agg(F.min("first_doc").alias("component"))
     labelled = classes.join(smallest, "class").select("set_key", "component")
     out = described.select("doc_id", "n_shingles", "set_key").join(labelled, "set_key", "left")
