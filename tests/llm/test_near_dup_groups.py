@@ -25,3 +25,15 @@ def test_template_just_under_the_law(spark):
     texts = [template + words(_RNG.randint(51, 63)) for _ in range(130)]
     texts += [t[:-3] + words(3) for t in texts[:30]]
     assert wrong_rows(spark, texts) == 0
+
+
+def test_small_groups_in_the_nodes_of_large_ones(spark):
+    """Pairs, 0.75 alike, that share most of their text with a large group of copies (0.73 alike) but do not link with it."""
+    texts = []
+    for _ in range(1):
+        base = words(304)
+        texts += [base + words(2) for _ in range(60)]
+        for _ in range(14):
+            own = base[: 300 - 42] + words(48)
+            texts += [own, own[: len(own) - 43] + words(43)]
+    assert wrong_rows(spark, texts) == 0
