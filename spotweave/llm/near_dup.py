@@ -5,7 +5,7 @@ chooses one or two coordinates of the MinHash signatures and its sets branch by
 similar sets keep meeting while others part. A small node compares all its sets. A large one estimates its sets'
 similarity to some pivots, and the closest pairs are confirmed on whole sets. If all but a few of its sets hang
 together by links confirmed so far, those few are compared with every member and the node is done; else it
-branches on, without the members that all but equal a pivot.
+branches on with all its members.
 Candidates are confirmed on whole shingle sets. The trees are DataFrame joins and group-bys over (set, node) rows of sixteen bytes; no
 node of unbounded size is gathered in one place.
 """
@@ -30,8 +30,7 @@ TREES = 16
 SMALL_NODE = 32  # such a node compares all its sets
 PIVOTS = 8  # sets of a larger node that all its sets are compared with
 NEAR = 0.7  # estimates from which a level confirms sets' closest pivots; other pairs wait for the end
-SAME = 0.95  # of those that leave a large node with the pivot staying
-PLAUSIBLE = 0.55  # estimates of linked sets lie above this but for 1 in 10,000 of the least similar
+PLAUSIBLE = 0.5  # estimates of linked sets reach this but for 5 in a million of the least similar
 DEEPEST = 40  # nodes large after so many levels, of which none is expected, are compared in full
 _SEED = np.random.default_rng(20240501)
 _MULTIPLY = _SEED.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -268,9 +267,6 @@ def candidate_pairs(
         met = inside.join(few, "node").select("set_id", F.explode(F.transform(F.filter("few", alike), lambda f: f["set_id"])).alias("other"))
         keep(met.select(*_pair("set_id", "other")))
         go_on = inside.join(ways.where(~F.col("done")).select("node"), "node")
-        closest = F.get("best", F.lit(0))
-        # of two that all but equal each other, the smaller id stays
-        go_on = go_on.where(F.coalesce((closest["near"] < SAME) | (closest["id"] > F.col("set_id")), F.lit(True)))
         # two branchings at a time: large nodes need several anyway
         once = go_on.select("set_id", "signature", F.explode(_branches(F.col("node"), F.col("signature"))).alias("node"))
         rows = once.select("set_id", F.explode(_branches(F.col("node"), F.col("signature"))).alias("node"))

@@ -37,3 +37,16 @@ def test_small_groups_in_the_nodes_of_large_ones(spark):
             own = base[: 300 - 42] + words(48)
             texts += [own, own[: len(own) - 43] + words(43)]
     assert wrong_rows(spark, texts) == 0
+
+
+def test_rim_of_a_large_group(spark):
+    """Texts that link with one of many near copies (0.754) and with no other of them (0.736)."""
+    base = words(300)
+    group = [base + words(4) for _ in range(80)]
+    assert wrong_rows(spark, group + [x + words(98) for x in group[:60]]) == 0
+
+
+def test_least_plausible_estimate():
+    """Of sets exactly 0.75 alike fewer than 1 in 100,000 are estimated below PLAUSIBLE."""
+    n, least = near_dup.COORDINATES, math.ceil(near_dup.PLAUSIBLE * near_dup.COORDINATES)
+    assert sum(math.comb(n, x) * 0.75**x * 0.25 ** (n - x) for x in range(least)) < 1e-5
