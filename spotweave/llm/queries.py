@@ -195,3 +195,76 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spotweave.llm.projected_search import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+URL_SQL = r"""
+with recursive raw as (
+  select page_id, url, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '') as h,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path,
+         regexp_replace(html, '(?is)<!--.*?-->|<script[^>]*>.*?</script>', ' ', 'g') as seen
+  from pages),
+page as (
+  select *, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host from raw),
+named as (
+  select page_id, url, path, replace(regexp_extract(unnest(regexp_extract_all(seen,
+    '(?is)<link[ \t\r\n\f][^>]*rel[ \t\r\n\f]*=[ \t\r\n\f]*[\x22'']?canonical[\x22'' \t\r\n\f/>][^>]*>?')),
+    '(?is)href[ \t\r\n\f]*=[ \t\r\n\f]*[\x22'']?([^\x22''> \t\r\n\f]+)', 1), '&amp;', '&') as t from page
+  union all
+  select page_id, url, path, replace(regexp_extract(unnest(regexp_extract_all(seen,
+    '(?is)<meta[ \t\r\n\f][^>]*http-equiv[ \t\r\n\f]*=[ \t\r\n\f]*[\x22'']?refresh[\x22'' \t\r\n\f/>][^>]*>?')),
+    '(?is)url[ \t\r\n\f]*=[ \t\r\n\f]*[\x22'']?([^\x22''> \t\r\n\f]+)', 1), '&amp;', '&') as t from page),
+target as (
+  select url as base, case
+    when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') then t
+    when starts_with(t, '//') then regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || t
+    when starts_with(t, '/') then regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t
+    when starts_with(t, '?') then regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || path || t
+    when starts_with(t, '#') then url
+    when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') then null
+    else regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1)
+         || case when regexp_extract(path, '(?s)^(.*/)', 1) = '' then '/' else regexp_extract(path, '(?s)^(.*/)', 1) end || t
+    end as goal
+  from named where t <> '' and instr(url, '://') > 0),
+address as (select url as u from page union select goal from target),
+node as (
+  select u, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path,
+         regexp_extract(u, '(?s)^.*?://[^/?#]*([^#]*)', 1) as rest
+  from address where instr(u, '://') > 0),
+keyed as (select *, host || case when starts_with(rest, '/') then rest else '/' || rest end as k from node),
+rule(rh, rp, v) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+fitting as (
+  select u, rh || rp as rule, v,
+         row_number() over (partition by u order by length(rh || rp) desc, length(rh) desc, v) as place
+  from keyed join rule on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp)),
+judged as (select keyed.u, k, rule, v from keyed left join fitting on fitting.u = keyed.u and place = 1),
+link as (
+  select a.k as a, b.k as b from target join keyed a on a.u = base join keyed b on b.u = goal
+  union select b.k, a.k from target join keyed a on a.u = base join keyed b on b.u = goal),
+shut(k) as (select k from judged where v = 'block' union select b from shut join link on a = k)
+select page_id, host, path, rule,
+       coalesce(v, case when k in (select k from shut) then 'block' else 'allow' end) as verdict
+from page left join judged on judged.u = page.url
+"""
+
+
+@query(URL_SQL)
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by the rules, and by blocked URLs it is equivalent to."""
+    from spotweave.llm.url_filter import judge, rules_table
+
+    judged = judge(table(spark, sf_dir, "pages"), rules_table(spark, URL_RULES), carried=["page_id"])
+    return judged.select(
+        "page_id",
+        F.col("_host").alias("host"),
+        F.col("_path").alias("path"),
+        F.col("_rule").alias("rule"),
+        F.col("_verdict").alias("verdict"),
+    )
