@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotweave.llm.common import n_bytes, n_words, table
+from spotweave.llm.common import WORD, n_bytes, n_words, table
 from spotweave.session import fresh_path, materialize
 
 QUERIES: dict = {}
@@ -268,3 +268,73 @@ def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_rule").alias("rule"),
         F.col("_verdict").alias("verdict"),
     )
+
+
+@query()
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every whole text, a tenth of them made periodic from some word on."""
+    from spotweave.llm.runs import find_runs
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    n, g = F.size("_words").cast("long"), F.floor(F.col("_h") / 10)
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    word = lambda i: F.element_at("_words", (F.when(i < a, i).otherwise(a + (i - a) % p) + 1).cast("int"))
+    altered = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), word), " ")
+    chosen = F.col("_h") % 10 == 0
+    docs = docs.withColumn("_h", h).withColumn("_words", F.when(chosen, words))  # a null doc_id leaves the text as it is
+    docs = docs.select("doc_id", F.when(chosen & (n > 0), altered).otherwise(F.col("text")).alias("text"))
+    found = find_runs(docs, ["doc_id"])
+    runs = F.col("_runs")
+    lines = F.transform(runs, lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    # greatest length / period, compared exactly by cross products
+    better = lambda x, y: (y["length"] * x["period"] > x["length"] * y["period"]) | (
+        (y["length"] * x["period"] == x["length"] * y["period"])
+        & ((y["start"] < x["start"]) | ((y["start"] == x["start"]) & (y["period"] < x["period"])))
+    )
+    top = F.aggregate(runs, runs[0], lambda x, y: F.when(better(x, y), y).otherwise(x))
+    found = found.withColumn("_top", F.when(F.size(runs) > 0, top))
+    return found.select(
+        "doc_id",
+        F.size(runs).cast("long").alias("n_runs"),
+        F.col("_top.start").alias("start"),
+        F.col("_top.length").alias("length"),
+        F.col("_top.period").alias("period"),
+        F.floor(1000 * F.col("_top.length") / F.col("_top.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("_collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+NEGATIVES_SQL = """
+with q as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+score as (
+  select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same,
+         list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::bigint as s
+  from q a join q b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+positive as (
+  select anchor_id, other as positive_id, s as positive_score from score where same
+  qualify row_number() over (partition by anchor_id order by s desc, other) <= 5)
+select p.anchor_id, p.positive_id,
+       row_number() over (partition by p.anchor_id, p.positive_id order by s desc, other)::int as rank,
+       other as negative_id, positive_score, s as negative_score
+from positive p join score n on n.anchor_id = p.anchor_id and not same
+     and 50 * positive_score <= 100 * s and 100 * s <= 95 * positive_score
+qualify rank <= 3
+"""
+
+
+@query(NEGATIVES_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth embedding, some labels moved on by one."""
+    from spotweave.llm.hard_negatives import hard_negatives
+
+    vec_id, label = F.col("vec_id"), F.col("label")
+    moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives(table(spark, sf_dir, "embeddings"), vec_id % 50 == 0, vec_id, F.col("embedding"), moved)
