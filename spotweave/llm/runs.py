@@ -206,7 +206,7 @@ def kept_words(n: int, runs: list[tuple[int, int, int]]) -> np.ndarray:
     return np.cumsum(drops)[:n] == 0
 
 
-def _find(least_words: int, least_exponent: int):
+def _find(least_words: int, least_exponent: int, batch_words: int):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
 
     def answer(rows: list[pa.RecordBatch], split: list[list[bytes]], coded: list[np.ndarray]) -> pa.RecordBatch:
@@ -235,7 +235,7 @@ def _find(least_words: int, least_exponent: int):
             first = 0
             for at, text in enumerate(batch.column(1)):
                 words = (text.as_py() or "").encode().split()  # of bytes: at ASCII white space only
-                if split and held + len(words) > BATCH_WORDS:
+                if split and held + len(words) > batch_words:
                     rows.append(batch.slice(first, at - first))
                     yield answer(rows, split, coded)
                     rows, split, coded, held, first = [], [], [], 0, at
@@ -257,6 +257,7 @@ def find_runs(
     text: str = "text",
     least_words: int = LEAST_WORDS,
     least_exponent: int = LEAST_EXPONENT,
+    batch_words: int = BATCH_WORDS,
 ) -> DataFrame:
     """The ``carried`` columns of every row of ``docs`` with ``_n_words``, ``_runs`` (start, length, period, by start and
     period) and ``_collapsed``, the words that stay when a run keeps its first period, joined by one space.
@@ -273,4 +274,4 @@ def find_runs(
             *T.StructType.fromDDL(f"_n_words bigint, _runs {RUNS}, _collapsed string").fields,
         ]
     )
-    return slim.mapInArrow(_find(least_words, least_exponent), schema).select("row.*", "_n_words", "_runs", "_collapsed")
+    return slim.mapInArrow(_find(least_words, least_exponent, batch_words), schema).select("row.*", "_n_words", "_runs", "_collapsed")

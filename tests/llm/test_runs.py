@@ -5,11 +5,9 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from spotweave.llm import runs as R
 from spotweave.llm.queries import QUERIES
 from spotweave.llm.runs import branching_squares, common_prefixes, find_runs, kept_words, runs_of, suffix_ranks
 
@@ -108,9 +106,7 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize("batch", [50, 200_000])
-def test_query_against_plain(spark, tmp_path, monkeypatch, batch):
-    monkeypatch.setattr(R, "BATCH_WORDS", batch)
+def test_query_against_plain(spark, tmp_path):
     given_rows = rows()
     frame = spark.createDataFrame(given_rows, "doc_id long, text string, _runs string")
     frame.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
@@ -124,6 +120,13 @@ def test_query_against_plain(spark, tmp_path, monkeypatch, batch):
     assert got[5000][1:6] == (1, 0, 80_000, 4, 20_000_000)
 
 
+def test_texts_taken_apart_or_together(spark):
+    frame = spark.createDataFrame([r[:2] for r in rows()], "doc_id long, text string").repartition(2)
+    answers = [find_runs(frame, ["doc_id", "text"], batch_words=n) for n in (1, 50, 10**9)]
+    few, some, all_ = (sorted(map(tuple, a.collect()), key=repr) for a in answers)
+    assert few == some == all_ and len(few) == len(rows())
+
+
 def test_operator_keeps_columns_and_gives_texts(spark):
     frame = spark.createDataFrame([(1, "go a b a b a b a b stop", "c"), (2, None, None)], "_runs long, text string, _collapsed string")
     out = find_runs(frame, ["_runs", "_collapsed"])
