@@ -2,10 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from spotweave.functions.running import running
 from spotweave.operators import batch_effects as B
 from spotweave.operators import differential as D
 from spotweave.operators import enrichment as P
 from spotweave.operators import expression as E
+from spotweave.operators.principal import principal_axes
 from spotweave.plans.registry import normal_p_sql, query, t_p_sql
 from spotweave.session import materialize
 
@@ -254,22 +256,93 @@ def kbet(t):
     return B.kbet(t.spots, k=10)
 
 
+@query(
+    "kbet_vectors", "spots_tested:i mean_chi_square:d6 acceptance_rate:d6",
+    f"""with e as (select vec_id as spot_id, label % 3 as batch, embedding as v from {{embeddings}}),
+             d as (select a.spot_id, b.spot_id as other, b.batch,
+                          list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1]::double - z[2]) * (z[1]::double - z[2]))) as d2
+                   from e a join e b on a.spot_id <> b.spot_id),
+             knn as (select * from d qualify row_number() over (partition by spot_id order by d2, other) <= 10),
+             f as (select batch, count(*) / (select count(*) from e) as f from e group by batch),
+             o as (select spot_id, batch, count(*) as o from knn group by spot_id, batch),
+             s as (select spot_id, sum(o * o / f) / sum(o) - sum(o) as chi_square from o join f using (batch) group by spot_id),
+             t as (select chi_square, exp(-greatest(chi_square, 0) / 2) as p_value from s)
+        select count(*) as spots_tested, avg(chi_square) as mean_chi_square,
+               avg(case when p_value >= 0.05 then 1.0 else 0.0 end) as acceptance_rate from t""",
+)
+def kbet_vectors(t):
+    # three batches have two degrees of freedom, whose upper tail is exp(-x / 2)
+    spots = t.embeddings.select(
+        F.col("vec_id").alias("spot_id"), (F.col("label") % 3).alias("batch"), F.col("embedding").cast("array<double>").alias("pc")
+    )
+    return B.kbet(spots, k=10)
+
+
+_GENES = [f"Brand#{i}" for i in range(1, 26)]
+
+
+@query(
+    "pca_geometry", "spot_id:i distance_to_next:d6",
+    """with c as (select spot_id, gene, ln(1 + sum(count)) as v from {brand_expr} group by spot_id, gene),
+            s as (select spot_id, lead(spot_id) over (order by spot_id) as other from (select distinct spot_id from c) q),
+            g as (select distinct gene from c)
+       select s.spot_id, sqrt(sum((coalesce(a.v, 0) - coalesce(b.v, 0)) * (coalesce(a.v, 0) - coalesce(b.v, 0)))) as distance_to_next
+       from s cross join g left join c a on a.spot_id = s.spot_id and a.gene = g.gene
+            left join c b on b.spot_id = s.other and b.gene = g.gene
+       where s.other is not null group by s.spot_id""",
+)
+def pca_geometry(t):
+    """Distances between spots next to each other, in the space of all components: turning keeps them."""
+    pcs = materialize(E.pca(t.brand_expr, k=len(_GENES)), "all-components")
+    order = running(pcs.select("spot_id"), [], "spot_id", {"place": ("sum", F.lit(1))})
+    placed = pcs.join(order, "spot_id")
+    following = placed.select((F.col("place") - 1).alias("place"), F.col("pc").alias("other"))
+    gap = F.aggregate(F.zip_with("pc", "other", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    return placed.join(following, "place").select("spot_id", F.sqrt(gap).alias("distance_to_next"))
+
+
+@query(
+    "pca_variance", "components:i total_variance:d6 squared_variance:d6",
+    """with c as (select spot_id, gene, ln(1 + sum(count)) as v from {brand_expr} group by spot_id, gene),
+            n as (select count(distinct spot_id) as n from c),
+            m as (select gene, sum(v) / any_value(n) as mean from c, n group by gene),
+            cov as (select a.gene as g, b.gene as h,
+                           (sum(x.v * y.v) - any_value(n) * any_value(a.mean) * any_value(b.mean)) / (any_value(n) - 1) as v
+                    from m a cross join m b cross join n left join c x on x.gene = a.gene
+                         left join c y on y.gene = b.gene and y.spot_id = x.spot_id
+                    group by a.gene, b.gene)
+       select count(*) filter (where g = h) as components, sum(v) filter (where g = h) as total_variance,
+              sum(v * v) as squared_variance from cov""",
+)
+def pca_variance(t):
+    """Sum of the components' variances and of their squares: trace and squared norm of the covariance."""
+    table = principal_axes(t.brand_expr, len(_GENES)).variance_table()
+    v = F.col("variance")
+    return table.agg(F.count("*").alias("components"), F.sum(v).alias("total_variance"), F.sum(v * v).alias("squared_variance"))
+
+
 def _pcs(t):
-    brands = [f"Brand#{i}" for i in range(1, 26)]
     batches = t.spots.select("spot_id", "batch")
-    return materialize(E.pca(t.brand_expr, brands, 2).join(batches, "spot_id"), "pcs")
+    return materialize(E.pca(t.brand_expr, _GENES, 5).join(batches, "spot_id"), "pcs")
 
 
-@query("harmony", "spot_id:i batch:s pc1:d4 pc2:d4")
+def _listed(pcs):
+    return pcs.select("spot_id", "batch", *[F.col("pc")[j].alias(f"pc{j + 1}") for j in range(5)])
+
+
+@query("harmony", "spot_id:i batch:s pc1:d4 pc2:d4 pc3:d4 pc4:d4 pc5:d4")
 def harmony(t):
-    out = B.harmony(_pcs(t), clusters=4, rounds=2)
-    return out.select("spot_id", "batch", F.col("pc")[0].alias("pc1"), F.col("pc")[1].alias("pc2"))
+    return _listed(B.harmony(_pcs(t), clusters=4))
 
 
-@query("scanorama", "spot_id:i batch:s pc1:d4 pc2:d4")
+@query("scanorama", "spot_id:i batch:s pc1:d4 pc2:d4 pc3:d4 pc4:d4 pc5:d4")
 def scanorama(t):
-    out = B.scanorama(_pcs(t), "ASIA", "EUROPE", k=5)
-    return out.select("spot_id", "batch", F.col("pc")[0].alias("pc1"), F.col("pc")[1].alias("pc2"))
+    return _listed(B.scanorama(_pcs(t), k=5))
+
+
+@query("batch_correction_report", "method:s variance_before:d6 variance_after:d6 variance_reduction:d4 kbet_before:d4 kbet_after:d4")
+def batch_correction_report(t):
+    return B.correction_report(t.batch_expr, "combat", components=5)
 
 
 # ---- enrichment ------------------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from spotweave.operators import expression as E
+from spotweave.operators import permutation as P
 from spotweave.operators import qc as Q
 from spotweave.operators import spatial as A
 from spotweave.plans.registry import normal_p_sql, query
@@ -327,4 +328,4 @@ def interpret_autocorr(t):
 
 @query("autocorr_permutation", "gene:s morans_i:d6 at_least:i permutations:i p_value:d6")
 def autocorr_permutation(t):
-    return A.autocorr_permutation(t.moran_values, _weights(t), t.spots, n=19, seed=7)
+    return P.autocorr_permutation(t.moran_values, _weights(t), t.spots, seed=7)

@@ -141,21 +141,6 @@ def test_combat_removes_the_batch_share(spark):
     assert (s.num_batches, s.num_samples, s.genes_corrected) == (3, 90, 16)
 
 
-def test_embedding_corrections(spark):
-    rng = random.Random(14)
-    rows = [(i, "ab"[i % 2], [rng.gauss(0, 1) + 6 * (i % 2), rng.gauss(0, 1) + 90 * (i // 2 % 2)]) for i in range(80)]
-    pcs = spark.createDataFrame(rows, "spot_id long, batch string, pc array<double>")
-    centre = lambda df: {r.batch: r.x for r in df.groupBy("batch").agg(F.avg(F.col("pc")[0]).alias("x")).collect()}
-    moved = centre(B.harmony(pcs, clusters=2, rounds=2))
-    assert abs(moved["a"] - moved["b"]) < 1e-9
-    shifted = centre(B.scanorama(pcs, "a", "b", k=5))
-    before = centre(pcs)
-    assert shifted["a"] == pytest.approx(before["a"]) and abs(shifted["b"] - shifted["a"]) < abs(before["b"] - before["a"]) - 1
-    flat = lambda df: df.select("spot_id", "batch", F.col("pc")[0].alias("x"), F.col("pc")[1].alias("y"))
-    assert B.kbet(flat(pcs), k=8).first().acceptance_rate < 0.2
-    assert B.kbet(flat(B.harmony(pcs, 2, 1)), k=8).first().acceptance_rate > 0.7
-
-
 def test_enrichment(spark):
     sets = spark.createDataFrame(
         [("hit", f"G{i}") for i in range(5)] + [("miss", f"H{i}") for i in range(5)] + [("hit", "G0")], "pathway string, gene string"

@@ -237,14 +237,3 @@ def test_weight_moments(spark):
     m = A.weight_moments(w).first()
     # pairs: {1,2} both ways -> 4, {2,3} one way -> 1; degrees out+in: 2, 3, 1
     assert (m.s0, m.s1, m.s2) == (3.0, 5.0, 14.0)
-
-
-def test_permutation_p(spark):
-    expr, weights, spots = lattice(spark, lambda i, j: 1 if i < 2 else 0)
-    got = A.autocorr_permutation(expr, weights, spots, n=99, seed=1).first()
-    assert got.permutations == 99 and got.morans_i == pytest.approx(2 / 3)
-    assert got.p_value <= 0.05
-    again = A.autocorr_permutation(expr, weights, spots, n=99, seed=1).first()
-    assert again.at_least == got.at_least
-    board = A.autocorr_permutation(*lattice(spark, lambda i, j: (i + j) % 2), n=19, seed=1).first()
-    assert board.p_value == 1.0
