@@ -4,8 +4,15 @@ Equal vectors become one. Random hyperplanes deal the vectors into leaves, sever
 partners in the leaves are the first neighbour lists. Then lists are refined by neighbours of neighbours: the
 vectors that share a neighbour meet there, and pairs closer than what a list holds enter it, until few do. The
 lists' edges above the threshold, confirmed in double precision, link vectors. A list that is full of links is
-too short: it is enlarged to the vector's whole component, compared in blocks that no task gathers whole. The
-recall of links is audited on a bounded sample against all vectors, and the graph refined again if it is short.
+too short: it doubles and is refined on, until it ends below the threshold or holds LONGEST vectors.
+
+What is still full then lies in a crowd, whose links can't be listed one by one. The components of crowds are cut into
+blocks of near vectors, balls with a centre and a radius. Two balls, of one component or of two, that can't hold a link are
+passed over, in two that hold only links these are counted without looking, and the others are compared. So
+lists that filled up with one group lose no link to another one.
+
+The recall of links is audited on a bounded sample against all vectors, vector by vector and apart for few and many
+links; if it is short, lists get longer and everything is refined again, and an error ends what can't reach it.
 """
 
 from __future__ import annotations
@@ -17,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotweave.llm.common import components
+from spotweave.llm.common import components, prefix_sums
 from spotweave.llm.vectors import lists, matrix, usable
 from spotweave.session import materialize
 
@@ -27,10 +34,12 @@ TREES = 3
 ROUNDS = 6  # of refinement, at most, between audits
 SETTLED = 0.02  # share of list entries that change in the last round
 LOOSE = 0.03  # edges this far below the threshold by rounded vectors are looked at in full
-BLOCK = 256  # members of a component compared with as many others in one group
-AUDITED = 512  # vectors compared with all others
-RECALL = 0.995
-ATTEMPTS = 4
+LONGEST = 80  # entries of a list that was enlarged; beyond, links are counted by balls
+BLOCK = 512  # members of a ball
+BALLS_AT_ONCE = 512  # balls whose centres are compared with as many others in one group
+CODE_BITS = 12  # hyperplanes by whose sides members of a ball are alike
+AUDITED = 384  # vectors compared with all others
+RECALL = 0.99
 
 
 def _rounded(unit: np.ndarray) -> np.ndarray:
@@ -84,11 +93,14 @@ def _first_lists(small: DataFrame, d: int, n: int, k: int, tree: int) -> DataFra
     return dealt.groupBy("leaf", "part").applyInArrow(_leaf_edges(d, k), "a long, b long, near float")
 
 
-def _best(edges: DataFrame, k: int) -> DataFrame:
-    """The k closest of every list; an entry is new if it is not known."""
+def _best(edges: DataFrame, k: int, long: DataFrame | None = None) -> DataFrame:
+    """The closest of every list, k or as many as ``long`` (id, k) allows; an entry is new if it is not known."""
     edges = edges.groupBy("a", "b").agg(F.max("near").alias("near"), F.min("fresh").alias("fresh"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("near"), "b"))
-    return edges.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+    if long is None:
+        return edges.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+    edges = edges.withColumn("rank", rank).where(F.col("rank") <= max(k, LONGEST)).join(long.withColumnRenamed("id", "a"), "a", "left")
+    return edges.where(F.col("rank") <= F.coalesce("k", F.lit(k))).drop("rank", "k")
 
 
 def _local_joins(d: int):
@@ -135,24 +147,70 @@ def _local_joins(d: int):
     return join
 
 
-def _refined(graph: DataFrame, small: DataFrame, d: int, k: int) -> tuple[DataFrame, float]:
-    """The graph after one round, written, and the share of entries that are new."""
+def _refined(graph: DataFrame, small: DataFrame, d: int, k: int, long: DataFrame | None = None) -> tuple[DataFrame, float]:
+    """The graph after one round, written, and the share of entries that are new.
+
+    With ``long`` (id, k), lists that are being enlarged, only they and the vectors they hold take part.
+    """
     reverse_rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("near"), "a"))
     # of those that hold a vector the closest k take part; the others meet through their own lists
-    back = graph.withColumn("rank", reverse_rank).where(F.col("rank") <= k)
+    most = k if long is None else max(k, LONGEST)
+    back = graph.withColumn("rank", reverse_rank).where(F.col("rank") <= most)
     meet = graph.select(F.col("a").alias("hub"), F.col("b").alias("id"), "fresh").unionByName(
         back.select(F.col("b").alias("hub"), F.col("a").alias("id"), "fresh")
     )
     meet = meet.groupBy("hub", "id").agg(F.max("fresh").alias("fresh"))
     own = graph.select("a").distinct().select(F.col("a").alias("hub"), F.col("a").alias("id"), F.lit(False).alias("fresh"))
-    limits = graph.groupBy(F.col("a").alias("id")).agg(F.when(F.count("*") >= k, F.min("near")).otherwise(F.lit(-2.0)).cast("float").alias("limit"))
+    limits = graph.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("c"), F.min("near").alias("least"))
+    limits = limits.withColumn("most", F.lit(k)) if long is None else limits.join(long.withColumnRenamed("k", "most"), "id", "left")
+    full = F.col("c") >= F.coalesce("most", F.lit(k))
+    limits = limits.select("id", F.when(full, F.col("least")).otherwise(F.lit(-2.0)).cast("float").alias("limit"))
+    if long is not None:
+        held = graph.join(long.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("hub"))
+        hubs = held.unionByName(long.select(F.col("id").alias("hub"))).distinct()
+        meet, own = meet.join(hubs, "hub", "left_semi"), own.join(hubs, "hub", "left_semi")
     rows = meet.unionByName(own).join(limits, "id").join(small, "id").select("hub", "id", "limit", "fresh", "small")
     found = rows.repartition("hub").sortWithinPartitions("hub").mapInArrow(_local_joins(d), "a long, b long, near float")
-    after = materialize(_best(graph.withColumn("fresh", F.lit(False)).unionByName(found.withColumn("fresh", F.lit(True))), k), "neighbours")
-    counts = after.agg(F.avg(F.col("fresh").cast("double")).alias("new")).first()
+    after = _best(graph.withColumn("fresh", F.lit(False)).unionByName(found.withColumn("fresh", F.lit(True))), k, long)
+    after = materialize(after, "neighbours")
+    counts = (after if long is None else after.join(long.select(F.col("id").alias("a")), "a", "left_semi")).agg(F.avg(F.col("fresh").cast("double")).alias("new")).first()
     return after, float(counts["new"] or 0.0)
 
 
+def _full_lists(graph: DataFrame, threshold: float, k: int, long: DataFrame | None) -> DataFrame:
+    """(id, k) of the lists that may hold nothing but links."""
+    sizes = graph.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("c"), F.min("near").alias("least"))
+    sizes = sizes.withColumn("k", F.lit(k)) if long is None else sizes.join(long, "id", "left").withColumn("k", F.coalesce("k", F.lit(k)))
+    return sizes.where((F.col("c") >= F.col("k")) & (F.col("least") >= threshold - LOOSE)).select("id", "k")
+
+
+def _enlarged(graph: DataFrame, small: DataFrame, d: int, k: int, threshold: float, seed: int) -> tuple[DataFrame, DataFrame | None]:
+    """The graph with full lists doubled until they end below the threshold or are LONGEST, and those lists (id, k)."""
+    long, size = None, k
+    while size < LONGEST:
+        full = materialize(_full_lists(graph, threshold, k, long), "full-lists")
+        n_full = full.count()
+        if n_full == 0:
+            break
+        size = min(2 * size, LONGEST)
+        grown = full.select("id", F.lit(size).alias("k"))
+        if long is not None:
+            grown = grown.unionByName(long.join(full, "id", "left_anti"))
+        long = materialize(grown, "long-lists")
+        # they meet anew among themselves, as their old partners may all be of one group
+        again = small.join(full.select("id"), "id", "left_semi")
+        first = _first_lists(again, d, n_full, size, seed + size).withColumn("fresh", F.lit(True))
+        edges = graph.withColumn("fresh", F.lit(False)).unionByName(first)
+        graph = materialize(_best(edges, k, long), "neighbours")
+        # every entry of these lists counts as new once, as with shorter lists most pairs were not asked for
+        graph = graph.withColumn("fresh", F.lit(True))
+        for _ in range(ROUNDS):
+            graph, new = _refined(graph, small, d, k, long)
+            if new < SETTLED:
+                break
+    return graph, long
+
+
 def _confirm(threshold: float):
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,29 +222,107 @@ def _confirm(threshold: float):
     return exact
 
 
-def _block_links(threshold: float):
-    """Number of links of each member of two blocks with the members of the other, or within one block."""
+def _ball(table: pa.Table) -> pa.Table:
+    """The centre, the radius (an angle) and the weight of a block's vectors."""
+    x = _unit(table["embedding"])
+    centre = x.mean(0)
+    size = np.linalg.norm(centre)
+    centre = centre / size if size > 1e-9 else x[0]
+    radius = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+    values = {"ball": table["ball"][:1], "centre": lists(centre[None], pa.float64()), "radius": pa.array([radius]),
+              "mass": pa.array([int(np.sum(table["m"].to_numpy()))]), "first": pa.array([int(np.min(table["id"].to_numpy()))])}
+    return pa.table(values)
+
+
+def _balls_in_reach(threshold: float):
+    """Pairs of balls that may hold links, and whether all their pairs surely are."""
+    angle = float(np.arccos(threshold))
+
+    def reach(table: pa.Table) -> pa.Table:
+        ball, radius, mass, side = (table[c].to_numpy() for c in ("ball", "radius", "mass", "side"))
+        first, x = table["first"].to_numpy(), matrix(table["centre"])
+        apart = np.arccos(np.clip(x @ x.T, -1, 1))
+        wide = radius[:, None] + radius[None, :]
+        # angles of centres are exact to about 1e-7
+        near = (apart - wide <= angle + 1e-6) & (ball[:, None] <= ball[None, :])
+        if (side != side[0]).any():
+            near &= side[:, None] != side[None, :]
+        i, j = np.nonzero(near)
+        sure = apart[i, j] + wide[i, j] <= angle - 1e-6
+        return pa.table({"one": ball[i], "two": ball[j], "sure": sure, "one_mass": mass[i], "two_mass": mass[j], "one_first": first[i], "two_first": first[j]})
+
+    return reach
+
+
+def _ball_links(threshold: float):
+    """Number of links of each member of two balls with the members of the other, or within one, and one of them."""
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, block, m = table["id"].to_numpy(), table["block"].to_numpy(), table["m"].to_numpy()
+        ids, ball, m = table["id"].to_numpy(), table["ball"].to_numpy(), table["m"].to_numpy()
         x = _unit(table["embedding"])
         linked = x @ x.T >= threshold
         np.fill_diagonal(linked, False)
-        if (block != block[0]).any():
-            linked &= block[:, None] != block[None, :]
-        return pa.table({"id": ids, "links": (linked * m[None, :]).sum(1).astype(np.int64)})
+        if (ball != ball[0]).any():
+            linked &= ball[:, None] != ball[None, :]
+        some = linked.any(1)
+        return pa.table({"id": ids[some], "links": (linked * m[None, :]).sum(1).astype(np.int64)[some], "other": ids[linked.argmax(1)][some]})
 
     return compare
 
 
+def _crowd_links(inside: DataFrame, d: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """((id, links) of members of crowds with members of crowds, pairs (a, b) of links that join components).
+
+    ``inside`` has component_id, id, m and embedding of all members of crowded components.
+    """
+    planes = np.random.default_rng(77).normal(size=(d, CODE_BITS))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = ((_unit(batch.column(3)) @ planes > 0) @ (1 << np.arange(CODE_BITS))) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sides.astype(np.int64))], names=[*batch.schema.names, "code"])
+
+    coded = inside.select("component_id", "id", "m", "embedding").mapInArrow(code, "component_id long, id long, m long, embedding array<double>, code long")
+    h = F.xxhash64("id")
+    coded = coded.withColumns({"part": F.pmod(h, F.lit(64)), "fine": F.pmod(F.shiftright(h, 8), F.lit(1024))})
+    ranked = materialize(prefix_sums(coded, ["component_id"], ["code", "part", "fine"], ["id"], out="place"), "crowd-places")
+    ball = F.xxhash64("component_id", F.floor(F.col("place") / BLOCK))
+    members = materialize(ranked.select("id", "m", "embedding", ball.alias("ball")), "crowd-members")
+    balls = materialize(members.groupBy("ball").applyInArrow(_ball, "ball long, centre array<double>, radius double, mass long, first long"), "balls")
+    n_groups = max(1, -(-balls.count() // BALLS_AT_ONCE))
+    side = F.pmod(F.xxhash64("ball"), F.lit(n_groups)).cast("int")
+    dealt = balls.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
+    dealt = dealt.withColumns({"one_side": F.least("side", "other"), "two_side": F.greatest("side", "other")})
+    schema = "one long, two long, sure boolean, one_mass long, two_mass long, one_first long, two_first long"
+    pairs = materialize(dealt.groupBy("one_side", "two_side").applyInArrow(_balls_in_reach(threshold), schema), "balls-in-reach")
+
+    sure = pairs.where("sure")
+    whole = sure.select(F.col("one").alias("ball"), F.col("two_mass").alias("mass")).unionByName(
+        sure.where("one <> two").select(F.col("two").alias("ball"), F.col("one_mass").alias("mass"))
+    )
+    counted = members.join(whole.groupBy("ball").agg(F.sum("mass").alias("links")), "ball")
+    # a ball that surely links with itself counted each member's own class
+    itself = sure.where("one = two").select(F.col("one").alias("ball"), F.lit(True).alias("itself"))
+    counted = counted.join(itself, "ball", "left").select("id", (F.col("links") - F.when(F.col("itself"), F.col("m")).otherwise(0)).alias("links"))
+    unsure = pairs.where(~F.col("sure"))
+    ends = unsure.select("one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("ball"))
+    found = ends.join(members, "ball").groupBy("one", "two").applyInArrow(_ball_links(threshold), "id long, links long, other long")
+    found = materialize(found, "ball-links")
+    links = counted.unionByName(found.select("id", "links")).groupBy("id").agg(F.sum("links").cast("long").alias("links"))
+    joins = sure.where("one <> two").select(F.col("one_first").alias("a"), F.col("two_first").alias("b"))
+    return links, joins.unionByName(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
+
+
 def _audit(classes: DataFrame, links: DataFrame, threshold: float) -> float:
-    """Share of the links of a bounded sample of vectors that were found; half of it from linked vectors."""
+    """The least mean share of a vector's links that were found, over sampled vectors with none, few and many of them."""
     order = F.xxhash64("id", F.lit("audit"))
+    many = F.when(F.col("links") == 0, 0).when(F.col("links") < 10, 1).otherwise(2)
     sample = (
         classes.join(links, "id", "left")
         .select("id", "embedding", "m", F.coalesce("links", F.lit(0)).alias("links"))
-        .withColumn("tier", F.row_number().over(Window.partitionBy(F.col("links") > 0, F.pmod(order, F.lit(64))).orderBy(order)))
-        .where(F.col("tier") <= AUDITED // 128)
+        .withColumn("tier", many)
+        .withColumn("place", F.row_number().over(Window.partitionBy("tier", F.pmod(order, F.lit(64))).orderBy(order)))
+        .where(F.col("place") <= AUDITED // 192)
         .collect()
     )  # at most AUDITED rows
     if not sample:
@@ -207,10 +343,13 @@ def _audit(classes: DataFrame, links: DataFrame, threshold: float) -> float:
                 total += (linked * batch.column(2).to_numpy()[None, :]).sum(1)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["id", "links"])
 
-    true = {r["id"]: r["links"] for r in classes.select("id", "embedding", "m").mapInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links")).collect()}
-    wanted = sum(true.values())
-    found = sum(min(r["links"], true[r["id"]]) for r in sample)
-    return found / wanted if wanted else 1.0
+    counted = classes.select("id", "embedding", "m").mapInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    true = {r["id"]: r["links"] for r in counted.collect()}
+    share = {}
+    for r in sample:
+        wanted = true[r["id"]]
+        share.setdefault(r["tier"], []).append(min(r["links"], wanted) / wanted if wanted else 1.0)
+    return min(float(np.mean(s)) for s in share.values())
 
 
 def near_vectors(
@@ -242,8 +381,8 @@ def near_vectors(
     )
     n = classes.count()
     small = classes.select("id", "small")
-    graph = None
-    for attempt in range(ATTEMPTS):
+    graph, attempt = None, 0
+    while True:
         first = [_first_lists(small, d, n, k, attempt * TREES + t).withColumn("fresh", F.lit(True)) for t in range(TREES)]
         edges = first[0]
         for more in [*first[1:], *([graph.withColumn("fresh", F.lit(False))] if graph is not None else [])]:
@@ -253,29 +392,32 @@ def near_vectors(
             graph, new = _refined(graph, small, d, k)
             if new < SETTLED:
                 break
+        graph, long = _enlarged(graph, small, d, k, threshold, 1000 * (attempt + 1))
         close = graph.where(F.col("near") >= threshold - LOOSE).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         side = lambda s: classes.select(F.col("id").alias(s), F.col("embedding").alias(f"{s}_v"))
         confirmed = close.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_v", "b_v").mapInArrow(_confirm(threshold), "a long, b long")
         confirmed = materialize(confirmed, "vector-links")
         joined = materialize(components(confirmed, "vector-components"), "vector-components")
-        # lists full of links: their components are compared in blocks
-        full = graph.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("c"), F.min("near").alias("least"))
-        full = full.where((F.col("c") >= k) & (F.col("least") >= threshold - LOOSE)).select("id")
-        crowded = joined.join(full, "id", "left_semi").select("component_id").distinct()
-        sized = joined.join(crowded, "component_id").groupBy("component_id").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
-        inside = joined.join(sized, "component_id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        inside = inside.join(classes.select("id", "m", "embedding"), "id")
-        dealt = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-        enlarged = (
-            dealt.groupBy("component_id", "one", "two").applyInArrow(_block_links(threshold), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
-        )
+        # lists that are full of links at their longest: crowds, counted by balls
+        full = _full_lists(graph, threshold, k, long).select("id")
+        crowded = materialize(joined.join(full, "id", "left_semi").select("component_id").distinct(), "crowds")
+        links = None
+        if crowded.limit(1).count():
+            inside = materialize(joined.join(crowded, "component_id", "left_semi").join(classes.select("id", "m", "embedding"), "id"), "crowded")
+            counted, across = _crowd_links(inside, d, threshold)
+            links = counted
+            joined = materialize(components(confirmed.unionByName(across), "vector-components"), "vector-components")
         both = confirmed.unionByName(confirmed.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        both = both.join(inside.select(F.col("id").alias("a")), "a", "left_anti")
-        listed = both.join(classes.select(F.col("id").alias("b"), "m"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("m").alias("links"))
-        links = materialize(enlarged.unionByName(listed), "vector-link-counts")
-        if _audit(classes, links, threshold) >= RECALL:
+        if links is not None:
+            both = both.join(inside.select(F.col("id").alias("a")), "a", "left_anti")
+        listed = both.join(classes.select(F.col("id").alias("b"), "m"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("m").cast("long").alias("links"))
+        links = materialize(listed if links is None else links.unionByName(listed), "vector-link-counts")
+        recall = _audit(classes, links, threshold)
+        if recall >= RECALL:
             break
+        if k >= n:
+            raise RuntimeError(f"{recall:.3f} of the links of audited vectors were found, {RECALL} are wanted")
+        attempt, k = attempt + 1, 2 * k
     labelled = classes.select("key", "id", "m").join(links, "id", "left").join(joined, "id", "left")
     labelled = labelled.select(
         "key", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")

@@ -116,6 +116,39 @@ def test_links_equal_brute_force(spark):
     assert sorted(map(tuple, got), key=repr) == sorted(plain_links(rows), key=repr)
 
 
+def rotated(plane, angle):
+    return [float(x) for x in np.cos(angle) * plane[0] + np.sin(angle) * plane[1]]
+
+
+def test_dense_groups_linked_across(spark):
+    """Groups whose lists fill with their own members, with links to each other: one list's length, and beyond the longest."""
+    r = np.random.default_rng(5)
+    rows = []
+    for start, size in ((0, 20), (1000, 130)):
+        basis = np.linalg.qr(r.normal(size=(16, 16)))[0]
+        for group, angle in ((0, 0.0), (1, 0.27)):  # groups some 15.5 degrees apart, 18.2 link
+            for i in range(size):
+                v = np.array(rotated(basis[:2], angle)) + 0.006 * r.normal(size=16)
+                rows.append((start + 500 * group + i, [float(x) for x in v]))
+    got = sorted(map(tuple, nn_descent.near_vectors(spark.createDataFrame([(*x, 0.0) for x in rows], VECTORS)).collect()))
+    assert got == sorted(plain_links(rows))
+    assert [g for g in got if g[0] in (0, 500)] == [(0, 39, 0, True), (500, 39, 0, False)]
+
+
+def test_many_balls_and_a_chain(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "BLOCK", 40)
+    monkeypatch.setattr(nn_descent, "BALLS_AT_ONCE", 4)
+    r = np.random.default_rng(6)
+    centre = r.normal(size=12)
+    rows = [(i, [float(x) for x in centre + 0.25 * r.normal(size=12) * (i % 3 > 0) + 1e-4 * r.normal(size=12)]) for i in range(400)]
+    step = np.linalg.qr(r.normal(size=(12, 12)))[0]
+    for i in range(300):  # a chain: neighbours link, its ends don't
+        turn = 0.02 * i
+        rows.append((1000 + i, rotated(step[:2], turn)))
+    got = sorted(map(tuple, nn_descent.near_vectors(spark.createDataFrame([(*x, 0.0) for x in rows], VECTORS).repartition(5)).collect()))
+    assert got == sorted(plain_links(rows))
+
+
 def test_no_vectors(spark):
     assert nn_descent.near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
     bad = spark.createDataFrame([(1, [0.0], 0.0), (2, None, 0.0)], VECTORS)
