@@ -4,9 +4,9 @@ Equal vectors become one. Random hyperplanes deal the vectors into leaves, sever
 partners in the leaves are the first neighbour lists. Then lists are refined by neighbours of neighbours: the
 vectors that share a neighbour meet there, and pairs closer than what a list holds enter it, until few do. The
 lists' edges above the threshold, confirmed in double precision, link vectors. A list that is full of links is
-too short: it doubles and is refined on, until it ends below the threshold or holds LONGEST vectors.
+too short: it is enlarged by whatever may be a link, until it ends below the threshold or holds LONGEST vectors.
 
-What is still full then lies in a crowd, whose links can't be listed one by one. The components of crowds are cut into
+What is full even then lies in a crowd, whose links can't be listed one by one. The components of crowds are cut into
 blocks of near vectors, balls with a centre and a radius. Two balls, of one component or of two, that can't hold a link are
 passed over, in two that hold only links these are counted without looking, and the others are compared. So
 lists that filled up with one group lose no link to another one.
@@ -60,22 +60,23 @@ def _unit(column) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _leaf_edges(d: int, k: int):
+def _leaf_edges(d: int, k: int, longest: int, loose: float):
     def best(table: pa.Table) -> pa.Table:
         ids = table["id"].to_numpy()
         x = _rounded_rows(table["small"], d)
         near = x @ x.T
         np.fill_diagonal(near, -2)
-        top = np.argpartition(-near, min(k, len(ids)) - 1, axis=1)[:, :k] if len(ids) > k else np.argsort(-near, axis=1)[:, :k]
+        top = np.argsort(-near, axis=1, kind="stable")[:, :longest]
         a = np.repeat(ids, top.shape[1])
         b, s = ids[top.ravel()], near[np.arange(len(ids))[:, None], top].ravel()
-        real = a != b
+        place = np.tile(np.arange(top.shape[1]), len(ids))
+        real = (a != b) & ((place < k) | (s >= loose))
         return pa.table({"a": a[real], "b": b[real], "near": s[real].astype(np.float32)})
 
     return best
 
 
-def _first_lists(small: DataFrame, d: int, n: int, k: int, tree: int) -> DataFrame:
+def _first_lists(small: DataFrame, d: int, n: int, k: int, longest: int, loose: float, tree: int) -> DataFrame:
     """(a, b, near): best partners within the leaves of one random tree."""
     bits = max(0, int(np.ceil(np.log2(max(1, n / LEAF)))))
     planes = np.random.default_rng(1000 + tree).normal(size=(d, bits))
@@ -90,17 +91,15 @@ def _first_lists(small: DataFrame, d: int, n: int, k: int, tree: int) -> DataFra
     dealt = small.mapInArrow(deal, "id long, small binary, leaf long")
     parts = dealt.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(float(2 * LEAF))).cast("long").alias("parts"))
     dealt = dealt.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("id", F.lit(tree)), F.col("parts")))
-    return dealt.groupBy("leaf", "part").applyInArrow(_leaf_edges(d, k), "a long, b long, near float")
+    return dealt.groupBy("leaf", "part").applyInArrow(_leaf_edges(d, k, longest, loose), "a long, b long, near float")
 
 
-def _best(edges: DataFrame, k: int, long: DataFrame | None = None) -> DataFrame:
-    """The closest of every list, k or as many as ``long`` (id, k) allows; an entry is new if it is not known."""
+def _best(edges: DataFrame, k: int, longest: int, loose: float) -> DataFrame:
+    """The k closest of every list and, where these are links, further ones up to ``longest``; an entry is new if it is not known."""
     edges = edges.groupBy("a", "b").agg(F.max("near").alias("near"), F.min("fresh").alias("fresh"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("near"), "b"))
-    if long is None:
-        return edges.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
-    edges = edges.withColumn("rank", rank).where(F.col("rank") <= max(k, LONGEST)).join(long.withColumnRenamed("id", "a"), "a", "left")
-    return edges.where(F.col("rank") <= F.coalesce("k", F.lit(k))).drop("rank", "k")
+    kept = (F.col("rank") <= k) | ((F.col("rank") <= longest) & (F.col("near") >= loose))
+    return edges.withColumn("rank", rank).where(F.col("rank") <= longest).where(kept).drop("rank")
 
 
 def _local_joins(d: int):
@@ -147,70 +146,38 @@ def _local_joins(d: int):
     return join
 
 
-def _refined(graph: DataFrame, small: DataFrame, d: int, k: int, long: DataFrame | None = None) -> tuple[DataFrame, float]:
-    """The graph after one round, written, and the share of entries that are new.
+def _lists_so_far(graph: DataFrame, k: int, longest: int, loose: float) -> DataFrame:
+    """(id, limit, crowd): what a list still takes, and whether it is as long as a list gets and holds nothing but links.
 
-    With ``long`` (id, k), lists that are being enlarged, only they and the vectors they hold take part.
+    A list with fewer than k entries takes anything, one that ends below the threshold what is closer than its last entry,
+    a full one anything that may be a link; one of a crowd takes nothing, for its links are counted by balls.
     """
+    sizes = graph.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("c"), F.min("near").alias("least"))
+    crowd = (F.col("c") >= longest) & (F.col("least") >= loose)
+    limit = F.when(F.col("c") < k, -2.0).when(crowd, 3.0).otherwise(F.least(F.col("least").cast("double"), F.lit(loose)))
+    limit = F.when((F.col("c") >= k) & (F.col("least") < loose), F.col("least").cast("double")).otherwise(limit)
+    return sizes.select("id", limit.cast("float").alias("limit"), crowd.alias("crowd"))
+
+
+def _refined(graph: DataFrame, small: DataFrame, d: int, k: int, longest: int, loose: float) -> tuple[DataFrame, float]:
+    """The graph after one round, written, and the share of entries that are new."""
     reverse_rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("near"), "a"))
     # of those that hold a vector the closest k take part; the others meet through their own lists
-    most = k if long is None else max(k, LONGEST)
-    back = graph.withColumn("rank", reverse_rank).where(F.col("rank") <= most)
+    back = graph.withColumn("rank", reverse_rank).where(F.col("rank") <= k)
     meet = graph.select(F.col("a").alias("hub"), F.col("b").alias("id"), "fresh").unionByName(
         back.select(F.col("b").alias("hub"), F.col("a").alias("id"), "fresh")
     )
     meet = meet.groupBy("hub", "id").agg(F.max("fresh").alias("fresh"))
     own = graph.select("a").distinct().select(F.col("a").alias("hub"), F.col("a").alias("id"), F.lit(False).alias("fresh"))
-    limits = graph.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("c"), F.min("near").alias("least"))
-    limits = limits.withColumn("most", F.lit(k)) if long is None else limits.join(long.withColumnRenamed("k", "most"), "id", "left")
-    full = F.col("c") >= F.coalesce("most", F.lit(k))
-    limits = limits.select("id", F.when(full, F.col("least")).otherwise(F.lit(-2.0)).cast("float").alias("limit"))
-    if long is not None:
-        held = graph.join(long.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("hub"))
-        hubs = held.unionByName(long.select(F.col("id").alias("hub"))).distinct()
-        meet, own = meet.join(hubs, "hub", "left_semi"), own.join(hubs, "hub", "left_semi")
+    limits = _lists_so_far(graph, k, longest, loose).select("id", "limit")
     rows = meet.unionByName(own).join(limits, "id").join(small, "id").select("hub", "id", "limit", "fresh", "small")
     found = rows.repartition("hub").sortWithinPartitions("hub").mapInArrow(_local_joins(d), "a long, b long, near float")
-    after = _best(graph.withColumn("fresh", F.lit(False)).unionByName(found.withColumn("fresh", F.lit(True))), k, long)
+    after = _best(graph.withColumn("fresh", F.lit(False)).unionByName(found.withColumn("fresh", F.lit(True))), k, longest, loose)
     after = materialize(after, "neighbours")
-    counts = (after if long is None else after.join(long.select(F.col("id").alias("a")), "a", "left_semi")).agg(F.avg(F.col("fresh").cast("double")).alias("new")).first()
+    counts = after.agg(F.avg(F.col("fresh").cast("double")).alias("new")).first()
     return after, float(counts["new"] or 0.0)
 
 
-def _full_lists(graph: DataFrame, threshold: float, k: int, long: DataFrame | None) -> DataFrame:
-    """(id, k) of the lists that may hold nothing but links."""
-    sizes = graph.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("c"), F.min("near").alias("least"))
-    sizes = sizes.withColumn("k", F.lit(k)) if long is None else sizes.join(long, "id", "left").withColumn("k", F.coalesce("k", F.lit(k)))
-    return sizes.where((F.col("c") >= F.col("k")) & (F.col("least") >= threshold - LOOSE)).select("id", "k")
-
-
-def _enlarged(graph: DataFrame, small: DataFrame, d: int, k: int, threshold: float, seed: int) -> tuple[DataFrame, DataFrame | None]:
-    """The graph with full lists doubled until they end below the threshold or are LONGEST, and those lists (id, k)."""
-    long, size = None, k
-    while size < LONGEST:
-        full = materialize(_full_lists(graph, threshold, k, long), "full-lists")
-        n_full = full.count()
-        if n_full == 0:
-            break
-        size = min(2 * size, LONGEST)
-        grown = full.select("id", F.lit(size).alias("k"))
-        if long is not None:
-            grown = grown.unionByName(long.join(full, "id", "left_anti"))
-        long = materialize(grown, "long-lists")
-        # they meet anew among themselves, as their old partners may all be of one group
-        again = small.join(full.select("id"), "id", "left_semi")
-        first = _first_lists(again, d, n_full, size, seed + size).withColumn("fresh", F.lit(True))
-        edges = graph.withColumn("fresh", F.lit(False)).unionByName(first)
-        graph = materialize(_best(edges, k, long), "neighbours")
-        # every entry of these lists counts as new once, as with shorter lists most pairs were not asked for
-        graph = graph.withColumn("fresh", F.lit(True))
-        for _ in range(ROUNDS):
-            graph, new = _refined(graph, small, d, k, long)
-            if new < SETTLED:
-                break
-    return graph, long
-
-
 def _confirm(threshold: float):
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -381,25 +348,25 @@ def near_vectors(
     )
     n = classes.count()
     small = classes.select("id", "small")
-    graph, attempt = None, 0
+    graph, attempt, loose = None, 0, threshold - LOOSE
     while True:
-        first = [_first_lists(small, d, n, k, attempt * TREES + t).withColumn("fresh", F.lit(True)) for t in range(TREES)]
+        longest = max(k, LONGEST)
+        first = [_first_lists(small, d, n, k, longest, loose, attempt * TREES + t).withColumn("fresh", F.lit(True)) for t in range(TREES)]
         edges = first[0]
         for more in [*first[1:], *([graph.withColumn("fresh", F.lit(False))] if graph is not None else [])]:
             edges = edges.unionByName(more)
-        graph = materialize(_best(edges, k), "neighbours")
+        graph = materialize(_best(edges, k, longest, loose), "neighbours")
         for _ in range(ROUNDS):
-            graph, new = _refined(graph, small, d, k)
+            graph, new = _refined(graph, small, d, k, longest, loose)
             if new < SETTLED:
                 break
-        graph, long = _enlarged(graph, small, d, k, threshold, 1000 * (attempt + 1))
-        close = graph.where(F.col("near") >= threshold - LOOSE).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        close = graph.where(F.col("near") >= loose).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         side = lambda s: classes.select(F.col("id").alias(s), F.col("embedding").alias(f"{s}_v"))
         confirmed = close.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_v", "b_v").mapInArrow(_confirm(threshold), "a long, b long")
         confirmed = materialize(confirmed, "vector-links")
         joined = materialize(components(confirmed, "vector-components"), "vector-components")
         # lists that are full of links at their longest: crowds, counted by balls
-        full = _full_lists(graph, threshold, k, long).select("id")
+        full = _lists_so_far(graph, k, longest, loose).where("crowd").select("id")
         crowded = materialize(joined.join(full, "id", "left_semi").select("component_id").distinct(), "crowds")
         links = None
         if crowded.limit(1).count():
