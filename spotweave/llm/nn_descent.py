@@ -360,14 +360,19 @@ def near_vectors(
             graph, new = _refined(graph, small, d, k, longest, loose)
             if new < SETTLED:
                 break
-        close = graph.where(F.col("near") >= loose).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        crowd = materialize(_lists_so_far(graph, k, longest, loose).where("crowd").select("id"), "crowd-lists")
+        # of links inside crowds the closest hang them together, and balls find those between what they leave apart
+        place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("near"), "b"))
+        named = lambda c: crowd.select(F.col("id").alias(c), F.lit(True).alias(f"{c}_crowd"))
+        close = graph.withColumn("place", place).where(F.col("near") >= loose).join(named("a"), "a", "left").join(named("b"), "b", "left")
+        close = close.where((F.col("place") <= k) | F.col("a_crowd").isNull() | F.col("b_crowd").isNull())
+        close = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         side = lambda s: classes.select(F.col("id").alias(s), F.col("embedding").alias(f"{s}_v"))
         confirmed = close.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_v", "b_v").mapInArrow(_confirm(threshold), "a long, b long")
         confirmed = materialize(confirmed, "vector-links")
         joined = materialize(components(confirmed, "vector-components"), "vector-components")
         # lists that are full of links at their longest: crowds, counted by balls
-        full = _lists_so_far(graph, k, longest, loose).where("crowd").select("id")
-        crowded = materialize(joined.join(full, "id", "left_semi").select("component_id").distinct(), "crowds")
+        crowded = materialize(joined.join(crowd, "id", "left_semi").select("component_id").distinct(), "crowds")
         links = None
         if crowded.limit(1).count():
             inside = materialize(joined.join(crowded, "component_id", "left_semi").join(classes.select("id", "m", "embedding"), "id"), "crowded")

@@ -2,8 +2,10 @@
 
 A text up to ``chunk_chars`` is encoded as it is. A longer one is cut into chunks that overlap, which are
 dealt out and encoded apart, and each chunk reports the places in its overlaps where a token ends in its own
-encoding. A place is proven stable if it is a single space between two visible characters: no word pattern and
-no special token reaches across its left side, so every encoding of the text has a token start there. Two
+encoding. A place is proven stable if no word pattern reaches across it: before a single space between two visible
+characters, between a letter and a digit, and before a sign that follows a letter or digit (in any script, so texts
+without spaces have such places too), unless a special token holds both neighbours. Every encoding of the
+text then has a token start there. Two
 chunks are spliced at their first common stable place. A text with a splice that fails (no such place in an
 overlap) is cut again with an overlap 16 times as long, until it holds or the text is one chunk.
 """
@@ -17,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +33,7 @@ CHUNK_CHARS = 32 << 10
 OVERLAP_CHARS = 256
 WIDER = 16
 VOCABULARY_FILE = "byte_bpe_50k.json"
-_STABLE = re.compile("(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
+_STABLE = regex.compile(r"(?<=\S) (?=\S)|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})|(?<=[\p{L}\p{N}])(?=[^\s\p{L}\p{N}\p{C}\p{Z}])")
 _RARE = re.compile(f"[^\x00-{chr(WIDE - 1)}]")
 
 
@@ -91,15 +94,25 @@ def n_tokens(text: str, vocabulary: str) -> int:
     return len(token_ends(text, vocabulary))
 
 
-def _stable_places(text: str, first: int, last: int, ends: np.ndarray) -> tuple[list[int], list[int]]:
+@lru_cache(2)
+def _inside_special(vocabulary: str) -> frozenset[str]:
+    """All two neighbours within special tokens: a chunk may end inside such a token."""
+    added = [t["content"] for t in json.loads(vocabulary)["added_tokens"]]
+    return frozenset(t[i : i + 2] for t in added for i in range(len(t) - 1))
+
+
+def _stable_places(text: str, first: int, last: int, ends: np.ndarray, joined: frozenset[str]) -> tuple[list[int], list[int]]:
     """Stable places of a chunk from character ``first`` to ``last``, and the tokens before each."""
     places, before = [], []
-    base = len(text[:first].encode())
+    at, seen = len(text[:first].encode()), first
     for m in _STABLE.finditer(text, first, last):
-        at = base + len(text[first : m.start()].encode())
+        place = m.start()
+        if text[place - 1 : place + 1] in joined:
+            continue
+        at, seen = at + len(text[seen:place].encode()), place
         i = int(np.searchsorted(ends, at))
         if i < len(ends) and ends[i] == at:
-            places.append(m.start())
+            places.append(place)
             before.append(i + 1)
     return places, before
 
@@ -147,8 +160,9 @@ def _encode_chunks(vocabulary):
             for row in batch.to_pylist():
                 text, start = row["text"], row["start"]
                 ends = token_ends(text, vocabulary.value)
-                left, left_before = _stable_places(text, 0, row["left_end"], ends) if row["left_end"] else ([], [])
-                right, right_before = _stable_places(text, row["right_start"], len(text), ends)
+                joined = _inside_special(vocabulary.value)
+                left, left_before = _stable_places(text, 0, row["left_end"], ends, joined) if row["left_end"] else ([], [])
+                right, right_before = _stable_places(text, row["right_start"], len(text), ends, joined)
                 out.append(
                     {k: row[k] for k in ("doc_id", "key", "chunk", "chunks")}
                     | {"n_tokens": len(ends), "left": [start + p for p in left], "left_before": left_before}
@@ -215,7 +229,8 @@ def count_tokens(
     left = huge
     while True:
         cut = left.mapInArrow(_cut(chunk_chars, overlap), _CUT_SCHEMA).repartition("key", "chunk")
-        spliced = materialize(_spliced(cut.mapInArrow(_encode_chunks(sent), _SPLICE_SCHEMA)), "token-splices")
+        encoded = materialize(cut.mapInArrow(_encode_chunks(sent), _SPLICE_SCHEMA), "token-chunks")  # read twice
+        spliced = materialize(_spliced(encoded), "token-splices")
         same = F.col("s.doc_id").eqNullSafe(F.col("z.doc_id")) & (F.col("s.key") == F.col("z.key"))
         done = spliced.where("n_tokens is not null").alias("s").join(sizes.alias("z"), same)
         done = done.select("s.doc_id", "z.n_bytes", "s.n_tokens", F.explode(F.sequence(F.lit(1), F.col("s.copies").cast("int"))).alias("copy"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 REVISIT_BYTES = 100
 ROLL_BYTES = 1 << 30  # an archive is closed at this size
-STRETCH_BYTES = 16 << 20  # index rows of one such stretch of a file are read by one task
+STRETCH_BYTES = 4 << 20  # index rows of one such stretch of a file are read by one task, and a task has one or two
 GAP_BYTES = 64 << 10  # ranges closer than this become one read
 READ_BYTES = 8 << 20  # and reads end at this length, unless one record is longer
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -164,9 +164,12 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> Da
     asked for; ``intact`` says that length and digest of a payload agree with the header.
     """
     stretch = F.floor(F.col("offset") / STRETCH_BYTES)
+    # a number that is stated is kept: by itself Spark would deal tasks by the bytes of the index, not of the archives
+    wanted = index.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()["bytes"]
+    readers = max(1, -(-wanted // STRETCH_BYTES))
     sorted_ranges = (
         index.select("file", "offset", "length", stretch.alias("stretch"))
-        .repartition("file", "stretch")
+        .repartition(readers, "file", "stretch")
         .sortWithinPartitions("file", "offset")
     )
 

@@ -1,6 +1,8 @@
 import random
+import time
 
 import numpy as np
+import pytest
 
 from spotweave.llm import language, toxicity
 
@@ -54,6 +56,41 @@ def test_languages_held_out_and_switched(spark):
     assert {r["_lang"] for r in language.identify(docs, nobody).select("_lang").collect()} == {"und"}
 
 
+def plain_features(text, weights, exceptions):
+    """Every entry tried at every word, every phrase at every word."""
+    words = toxicity._WORD.findall(toxicity.fold(text))
+    shown = " " + "  ".join(words) + " "
+    starts = [0]
+    for w in words[:-1]:
+        starts.append(starts[-1] + len(w) + 2)
+    spared = {k for k, a in enumerate(starts) for p in exceptions for b in starts if shown.startswith(p, b) and b <= a < b + len(p) - 1}
+    total = 0.0
+    for k, a in enumerate(starts):
+        if words and k not in spared:
+            total += max([w for e, w in weights.items() if shown.startswith(e, a)], default=0.0)
+    return (np.log1p(total), np.log1p(100 * total / len(words))) if words else (0.0, 0.0)
+
+
+def test_features_equal_plain_matching():
+    rng = random.Random(4)
+    weights = {" idiot ": 3.0, " idi": 1.0, " scum ": 2.5, " scu": 0.5, " lo": 0.25, " loser ": 2.0}
+    exceptions = (" scum  of ", " the  loser  wins ", " loser  wins ", " idiot  box  the ")
+    automaton = toxicity._automaton(tuple(sorted(weights.items())), exceptions)
+    words = ["idiot", "1d10t", "idiom", "sсum", "scums", "of", "the", "l0ser", "LOSER", "wins", "box", "lot", "x", "3", "!", "ＩＤＩＯＴ"]
+    for n in (0, 1, 2, 5, 60):
+        for _ in range(60):
+            text = rng.choice([" ", ", ", "\n"]).join(rng.choice(words) for _ in range(n))
+            assert toxicity.features(text, automaton) == pytest.approx(plain_features(text, weights, exceptions))
+
+
+def test_long_text_full_of_exceptions_takes_linear_time():
+    automaton = toxicity._automaton(((" scum ", 2.0),), (" scum  of ",))
+    text = "scum of the scum " * 60_000
+    begin = time.perf_counter()
+    assert toxicity.features(text, automaton)[0] == pytest.approx(np.log1p(120_000))
+    assert time.perf_counter() - begin < 10
+
+
 def test_folding():
     assert toxicity.fold("1D10T sсum l0ser $tupid 3D 100 m0r0n!") == "idiot scum loser stupid 3d 100 moron!"
     assert toxicity.fold("ＩＤｉｏｔ id​iot") == "idiot idiot"

@@ -68,6 +68,34 @@ def test_counts_equal_the_library(spark, chunk, overlap):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+def test_places_in_every_script():
+    path = public_tokenizers.path(token_count.VOCABULARY_FILE)
+    vocabulary, plain = token_count.read_vocabulary(path), Tokenizer.from_file(path)
+    joined = token_count._inside_special(vocabulary)
+    samples = ["привет мир, 2024год.", "γειά σου κόσμε 7ημέρες", "你好，世界123年。再见", "مرحبا بالعالم ١٢٣كلمة", "ab1c2 don't 3'd x<|endoftext|>y"]
+    for sample in samples:
+        text = sample * 40
+        whole = token_count.token_ends(text, vocabulary)
+        places, before = token_count._stable_places(text, 0, len(text), whole, joined)
+        assert len(places) >= 40
+        for place, tokens in list(zip(places, before))[:60]:  # both sides encoded by themselves give the same tokens
+            left, right = (len(plain.encode(t, add_special_tokens=False).ids) for t in (text[:place], text[place:]))
+            assert left == tokens and left + right == len(whole)
+
+
+@pytest.mark.parametrize("sample", ["привет мир, как дела? ", "你好世界，这是一个很长的句子。", "τα πάντα ῥεῖ 12η ", "<|endoftext|>中文12", "غدا٣ يوم "])
+def test_long_texts_of_other_scripts_are_spliced_at_once(spark, monkeypatch, sample):
+    path = public_tokenizers.path(token_count.VOCABULARY_FILE)
+    vocabulary, plain = token_count.read_vocabulary(path), Tokenizer.from_file(path)
+    text = sample * (40_000 // len(sample))
+    monkeypatch.setattr(token_count, "WIDER", 10**9)  # a splice that failed would leave one chunk
+    cuts = []
+    cut = token_count._cut
+    monkeypatch.setattr(token_count, "_cut", lambda *a: cuts.append(a) or cut(*a))
+    got = token_count.count_tokens(spark.createDataFrame([(1, text, "", "")], DOCS), vocabulary).first()
+    assert got.n_tokens == len(plain.encode(text, add_special_tokens=False).ids) and len(cuts) == 1
+
+
 def test_counts_of_nothing(spark):
     vocabulary = token_count.read_vocabulary(public_tokenizers.path(token_count.VOCABULARY_FILE))
     assert token_count.count_tokens(spark.createDataFrame([], DOCS), vocabulary).count() == 0
