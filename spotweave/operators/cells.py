@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spotweave import fixed_values as fv
 from spotweave.functions.checks import in_range, need_columns
 from spotweave.functions.geometry import inside_polygon, points_in_boxes
-from spotweave.functions.numeric import let
+
+PIECE = 256  # letters of a text that one row holds, beside the start of the next
 
 
 def filter_cells(cells: DataFrame, min_cell_size: float = fv.MIN_CELL_SIZE) -> DataFrame:
@@ -112,35 +111,35 @@ def cells_in_boundary(points: DataFrame, polygons: DataFrame) -> DataFrame:
     return near.where(inside_polygon(F.col("x"), F.col("y"), F.col("vertices"))).drop("x1", "y1", "x2", "y2", "vertices")
 
 
-def _kmers(sequence: str, k: int) -> Column:
-    """All k-mers of a text. The text is cut into letters once: a substring call per position would walk
-    the text from its start every time, which is quadratic in its length."""
-    joined = lambda letters: F.when(
-        F.size(letters) >= k,
-        F.transform(
-            F.sequence(F.lit(1), F.size(letters) - (k - 1)),
-            lambda i: F.concat(*[F.element_at(letters, i + j) for j in range(k)]),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    return let(F.split(sequence, ""), joined)
+def _kmers(sequences: DataFrame, k: int) -> DataFrame:
+    """(seq_id, kmer) of every position. A text is cut into short pieces once, each followed by the start of the next, so
+    a position is found by walking one piece and no row holds more than a piece."""
+    size = max(PIECE, k)
+    pieces = F.regexp_extract_all("sequence", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    cut = sequences.select("seq_id", pieces.alias("_p"))
+    # with k up to the piece's length the start of the next one piece is all that is needed
+    longer = F.transform("_p", lambda p, i: F.concat(p, F.substring(F.coalesce(F.try_element_at("_p", i + 2), F.lit("")), 1, k - 1)))
+    rows = cut.select("seq_id", F.explode(longer).alias("_p")).where(F.length("_p") >= k)
+    at = F.explode(F.sequence(F.lit(1), F.length("_p") - (k - 1)))
+    return rows.withColumn("_at", at).select("seq_id", F.col("_p").substr(F.col("_at"), F.lit(k)).alias("kmer"))
 
 
 def kmer_counts(sequences: DataFrame, k: int = 6) -> DataFrame:
     """K11. Occurrences of every k-mer per sequence."""
     in_range("k", k, 1)
-    return (
-        sequences.select("seq_id", F.explode(_kmers("sequence", k)).alias("kmer"))
-        .groupBy("seq_id", "kmer")
-        .agg(F.count("*").alias("n"))
-    )
+    return _kmers(sequences, k).groupBy("seq_id", "kmer").agg(F.count("*").alias("n"))
 
 
 def embed_sequences(sequences: DataFrame, dim: int = fv.EMBEDDING_DIM, k: int = 6) -> DataFrame:
-    """K11. Hashed k-mer counts as ``embedding ARRAY<DOUBLE>`` of length ``dim``."""
+    """K11. Hashed k-mer counts as ``embedding ARRAY<DOUBLE>`` of length ``dim``; a k-mer counts at its MD5's first eight
+    digits modulo ``dim``. A sequence without k-mers has zeros."""
     in_range("dim", dim, 1)
-    tokens = sequences.select("seq_id", _kmers("sequence", k).alias("_k"))
-    hashed = HashingTF(numFeatures=dim, inputCol="_k", outputCol="_v").transform(tokens)
-    return hashed.select("seq_id", vector_to_array("_v").alias("embedding"))
+    place = (F.conv(F.substring(F.md5("kmer"), 1, 8), 16, 10).cast("long") % dim).cast("int")
+    counts = kmer_counts(sequences, k).groupBy("seq_id", place.alias("_at")).agg(F.sum("n").cast("double").alias("_n"))
+    held = counts.groupBy("seq_id").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_n"))).alias("_m"))  # dim entries at most
+    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
+    everyone = sequences.select("seq_id").distinct()
+    return everyone.join(held, "seq_id", "left").select("seq_id", F.when(F.col("_m").isNull(), F.array_repeat(F.lit(0.0), dim)).otherwise(vector).alias("embedding"))
 
 
 def platform_correlation(a: DataFrame, b: DataFrame, min_r: float = 0.7) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spotweave import fixed_values as fv
 from spotweave.functions.checks import in_range, need_columns, one_of
 from spotweave.functions.numeric import clean_double, normal_two_sided, t_two_sided
+from spotweave.functions.running import hash_buckets, running
 from spotweave.operators.expression import normalize
 from spotweave.operators.qc import gene_filter
 
@@ -51,14 +52,17 @@ def fetch_expression(
     return gene_filter(rows, genes).select("sample_id", "gene", "value")
 
 
-def expression_arrays(slice_: DataFrame, chunks: int = 1) -> DataFrame:
-    """T2. Gene -> values ordered by sample, for the edge of a program.
+def expression_arrays(slice_: DataFrame, width: int = 10_000) -> DataFrame:
+    """T2. Gene -> values ordered by sample, for the edge of a program, in rows (gene, chunk) of bounded size.
 
-    The caller says into how many ``chunks`` the samples are dealt by hash, the same samples in the same chunk
-    for every gene; a row is one (gene, chunk), whatever the size of the cohort.
+    Samples are numbered in the order of a hash and dealt into chunks of ``width``, the same samples in the same chunk for
+    every gene, so no row holds more than ``width`` samples however large the cohort is.
     """
-    in_range("chunks", chunks, 1)
-    numbered = slice_.withColumn("chunk", F.pmod(F.xxhash64("sample_id"), F.lit(chunks)))
+    in_range("width", width, 1)
+    samples = slice_.select("sample_id").distinct().withColumn("_h", F.xxhash64("sample_id"))
+    order = running(samples, [], "_h", {"_place": ("sum", F.lit(1))}, buckets=hash_buckets, tiebreak=["sample_id"])
+    chunk = F.floor((F.col("_place") - 1) / width).cast("long")
+    numbered = slice_.join(order.select("sample_id", chunk.alias("chunk")), "sample_id")
     return numbered.groupBy("gene", "chunk").agg(
         F.sort_array(F.collect_list(F.struct("sample_id", "value"))).alias("_e")
     ).select(

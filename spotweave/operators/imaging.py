@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotweave import fixed_values as fv
 from spotweave.functions.checks import in_range, need_columns, one_of
 from spotweave.functions.geometry import points_in_boxes
+from spotweave.functions.graph import connected
 from spotweave.functions.running import exact_quantiles
+from spotweave.session import materialize
 
 
 def find_images(
@@ -179,3 +183,115 @@ def image_features(pixels: DataFrame, rois: DataFrame, feature_type: str = "inte
     return {"texture": image_texture, "intensity": image_intensity, "morphology": image_morphology}[feature_type](
         inside, **options
     )
+
+
+#: Steps to the neighbours that a texture compares: right, below, and both diagonals downwards.
+DIRECTIONS = {"0": (1, 0), "90": (0, 1), "45": (1, -1), "135": (1, 1)}
+
+
+def image_summary(pixels: DataFrame, key: str = "image_id") -> DataFrame:
+    """K5. Per whole image (or ROI): pixels, extent, mean, deviation, least and greatest intensity."""
+    v = F.col("intensity").cast("double")
+    return pixels.where(v.isNotNull()).groupBy(key).agg(
+        F.count("*").alias("pixels"), (F.max("x") - F.min("x") + 1).alias("width"), (F.max("y") - F.min("y") + 1).alias("height"),
+        F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
+    )
+
+
+def texture_2d(
+    pixels: DataFrame, low: float, high: float, levels: int = 8, key: str = "image_id", directions: tuple[str, ...] = tuple(DIRECTIONS)
+) -> DataFrame:
+    """K5. Grey-level co-occurrence in two dimensions, one row per image and direction.
+
+    Pixels are ``image_id, x, y, intensity``, one row per place. A neighbour is found by one join on image and place, so neither an
+    image nor a pixel row is gathered anywhere. Pairs count both ways round, as the matrix is symmetric.
+    """
+    in_range("levels", levels, 2, 256)
+    if high <= low:
+        raise ValueError("high must be above low")
+    for d in directions:
+        one_of("direction", d, list(DIRECTIONS))
+    grey = pixels.where("intensity is not null").select(key, "x", "y", grey_level(F.col("intensity").cast("double"), low, high, levels).alias("g"))
+    steps = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(DIRECTIONS[d][0]).alias("dx"), F.lit(DIRECTIONS[d][1]).alias("dy")) for d in directions]))
+    asked = grey.withColumn("s", steps).select(
+        key, (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"), F.col("s.d").alias("direction"), F.col("g").alias("i")
+    )
+    there = grey.select(*[F.col(c).alias(c) for c in (key, "x", "y")], F.col("g").alias("j"))
+    seen = asked.join(there, [key, "x", "y"]).groupBy(key, "direction", "i", "j").agg(F.count("*").cast("double").alias("c"))
+    both = F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    cells = seen.withColumn("p", both).groupBy(key, "direction", F.col("p.i").alias("i"), F.col("p.j").alias("j")).agg(F.sum("c").alias("c"))
+    i, j, c = F.col("i").cast("double"), F.col("j").cast("double"), F.col("c")
+    n = F.sum("c")
+    mean = F.sum(c * i) / n
+    spread, shared = F.sum(c * i * i) / n - mean * mean, F.sum(c * i * j) / n - mean * mean
+    return cells.groupBy(key, "direction").agg(
+        (n / 2).cast("long").alias("pairs"),
+        (F.sum(c * (i - j) * (i - j)) / n).alias("contrast"),
+        (F.sum(c * c) / (n * n)).alias("energy"),
+        (F.sum(c / (1.0 + F.abs(i - j))) / n).alias("homogeneity"),
+        F.when(spread > 1e-12, shared / spread).alias("correlation"),
+    )
+
+
+def _labelled(tile: int):
+    """Labels of the connected pixels of one tile: the smallest pixel number of each group."""
+
+    def label(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = (rows["x"] % tile).to_numpy(), (rows["y"] % tile).to_numpy()
+        grid = np.full((tile + 2, tile + 2), -1, np.int64)
+        grid[y + 1, x + 1] = np.arange(len(rows))
+        root = np.arange(len(rows))
+        while True:  # the smallest label spreads along rows and columns, and labels jump to their labels' labels
+            padded = np.append(root, np.iinfo(np.int64).max)  # what is no pixel
+            own = grid[y + 1, x + 1]
+            near = np.minimum.reduce([padded[own], padded[grid[y, x + 1]], padded[grid[y + 2, x + 1]], padded[grid[y + 1, x]], padded[grid[y + 1, x + 2]]])
+            lower = root.copy()
+            np.minimum.at(lower, root, near)
+            lower = lower[np.minimum(near, lower[root])]
+            if (lower == root).all():
+                break
+            root = lower
+        return rows.assign(first_x=rows["x"].to_numpy()[root], first_y=rows["y"].to_numpy()[root])
+
+    return label
+
+
+def image_objects(pixels: DataFrame, threshold: float, key: str = "image_id", tile: int = 512) -> DataFrame:
+    """K5 morphology of whole images. Connected groups of pixels at or above a threshold (sides touch):
+    ``key, object_x, object_y, area, centroid_x, centroid_y, x1, y1, x2, y2, perimeter``.
+
+    Tiles are labelled by themselves; labels of pixels that touch across a border are joined, and their components are the objects.
+    An object is named by its component's smallest (x, y) among its tiles' first pixels. ``perimeter`` counts sides without a
+    neighbour in the object. Pixels of one place must be one row; the tile bounds what a task holds.
+    """
+    in_range("tile", tile, 1)
+    shown = pixels.where(F.col("intensity") >= threshold).select(key, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+    kind = shown.schema[key].dataType.simpleString()
+    tiled = shown.withColumns({"tile_x": F.floor(F.col("x") / tile), "tile_y": F.floor(F.col("y") / tile)})
+    label = _labelled(tile)
+    schema = f"{key} {kind}, x long, y long, tile_x long, tile_y long, first_x long, first_y long"
+    parts = materialize(tiled.groupBy(key, "tile_x", "tile_y").applyInPandas(label, schema), "tile-labels")
+    name = F.struct(F.col(key).alias("image"), F.col("first_x").alias("x"), F.col("first_y").alias("y"))
+    named = parts.select(key, "x", "y", name.alias("label"))
+    # sides that two pixels share, across tiles and inside: the former join labels, both shorten the outline
+    step = F.explode(F.array(F.struct(F.lit(1).alias("dx"), F.lit(0).alias("dy")), F.struct(F.lit(0).alias("dx"), F.lit(1).alias("dy"))))
+    asked = named.withColumn("s", step).select(key, (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"), F.col("label").alias("a"))
+    touching = asked.join(named.select(*[F.col(c).alias(c) for c in (key, "x", "y")], F.col("label").alias("b")), [key, "x", "y"])
+    touching = materialize(touching.groupBy("a", "b").agg(F.count("*").alias("sides")), "touching-labels")
+    joined = connected(touching.where("a <> b").select("a", "b"))
+    label_rows = parts.groupBy(name.alias("label")).agg(
+        F.count("*").alias("area"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"),
+        F.min("x").alias("x1"), F.min("y").alias("y1"), F.max("x").alias("x2"), F.max("y").alias("y2"),
+    )
+    shared = touching.groupBy(F.col("a").alias("label")).agg(F.sum("sides").alias("sides"))
+    whole = label_rows.join(shared, "label", "left").join(joined.withColumnRenamed("id", "label"), "label", "left")
+    whole = whole.groupBy(F.coalesce("root", "label").alias("object")).agg(
+        F.sum("area").alias("area"), F.sum("sum_x").alias("sum_x"), F.sum("sum_y").alias("sum_y"),
+        F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"),
+        F.coalesce(F.sum("sides"), F.lit(0)).alias("sides"),
+    )
+    return whole.select(
+        F.col("object.image").alias(key), F.col("object.x").alias("object_x"), F.col("object.y").alias("object_y"), "area",
+        (F.col("sum_x") / F.col("area")).alias("centroid_x"), (F.col("sum_y") / F.col("area")).alias("centroid_y"),
+        "x1", "y1", "x2", "y2", (4 * F.col("area") - 2 * F.col("sides")).alias("perimeter"),
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotweave.functions.checks import need_columns
-from spotweave.functions.numeric import chi2_one_df
+from spotweave.functions.numeric import chi2_one_df, chi2_upper
 from spotweave.functions.running import exact_quantiles, running
 from spotweave.session import materialize
 
@@ -125,6 +125,57 @@ def log_rank(surv: DataFrame, group: str = "grp", first=None, second=None) -> Da
     return sums.withColumn("p_value", chi2_one_df("chi_square"))
 
 
+def log_rank_groups(surv: DataFrame, group: str = "grp", labels: list | None = None) -> DataFrame:
+    """T9. Log-rank test of any number of groups: (groups, chi_square, degrees, p_value).
+
+    ``labels`` names the groups to compare, by default all of the column; each is a column of the sums over months, so they
+    should be few. Observed minus expected events of all groups but one are weighed by the inverse of their covariance.
+    """
+    months = _per_month(surv, group)
+    if labels is None:
+        labels = sorted((r[0] for r in months.select("grp").distinct().collect()), key=str)
+    k = len(labels)
+    if k < 2:
+        raise ValueError("a test needs two groups at least")
+    of = lambda c, g: F.sum(F.when(F.col("grp") == g, F.col(c)).otherwise(0))
+    wide = months.where(F.col("grp").isin(labels)).groupBy("months").agg(
+        *[of("leaving", g).alias(f"l{i}") for i, g in enumerate(labels)], *[of("events", g).alias(f"d{i}") for i, g in enumerate(labels)]
+    )
+    risk = running(wide, [], "months", {f"n{i}": ("sum", F.col(f"l{i}")) for i in range(k)}, descending=True)
+    number = lambda c: F.col(c).cast("double")
+    n, d = sum((number(f"n{i}") for i in range(k)), F.lit(0.0)), sum((number(f"d{i}") for i in range(k)), F.lit(0.0))
+    spread = F.when(n > 1, d * (n - d) / (n - 1)).otherwise(0.0)
+    share = lambda i: number(f"n{i}") / n
+    gaps = [F.sum(number(f"d{i}") - d * share(i)).alias(f"u{i}") for i in range(k - 1)]
+    covariance = [
+        F.sum(spread * share(i) * ((1.0 if i == j else 0.0) - share(j))).alias(f"v{i}_{j}") for i in range(k - 1) for j in range(i, k - 1)
+    ]
+    one = risk.agg(*gaps, *covariance)
+    # elimination in columns: every step leaves one row and column fewer of the covariance beside the gaps
+    matrix = {(i, j): f"v{min(i, j)}_{max(i, j)}" for i in range(k - 1) for j in range(k - 1)}
+    gap = {i: f"u{i}" for i in range(k - 1)}
+    one = one.select(*[F.coalesce(c, F.lit(0.0)).alias(c) for c in [*gap.values(), *sorted(set(matrix.values()))]]).withColumns(
+        {"chi_square": F.lit(0.0), "degrees": F.lit(0)}
+    )
+    scale = sum((F.abs(F.col(matrix[i, i])) for i in range(k - 1)), F.lit(0.0))
+    one = one.withColumn("_least", scale * 1e-12)
+    for step in range(k - 1):
+        pivot = F.col(matrix[step, step])
+        used = pivot > F.col("_least")  # a group that can't differ, as nobody of it is ever at risk, has no variance
+        factor = {i: F.when(used, F.col(matrix[step, i]) / pivot).otherwise(0.0) for i in range(step + 1, k - 1)}
+        changes = {
+            "chi_square": F.col("chi_square") + F.when(used, F.col(gap[step]) * F.col(gap[step]) / pivot).otherwise(0.0),
+            "degrees": F.col("degrees") + used.cast("int"),
+        }
+        for i in range(step + 1, k - 1):
+            changes[gap[i]] = F.col(gap[i]) - factor[i] * F.col(gap[step])
+            for j in range(i, k - 1):
+                changes[matrix[i, j]] = F.col(matrix[i, j]) - factor[i] * F.col(matrix[step, j])
+        one = one.withColumns(changes)
+    p = F.when(F.col("degrees") > 0, chi2_upper("chi_square", F.greatest("degrees", F.lit(1)))).otherwise(1.0)
+    return one.select(F.lit(k).alias("groups"), "chi_square", "degrees", p.alias("p_value"))
+
+
 def _ratio():
     zero = F.lit(0.0)
     return (F.col("observed1") / F.nullif("expected1", zero)) / F.nullif(F.col("observed2") / F.nullif("expected2", zero), zero)
@@ -152,4 +203,5 @@ def survival_report(surv: DataFrame, months: float = 60, group: str = "grp", fir
         none = F.lit(None).cast("double")
         return rows.select("*", none.alias("log_rank_p_value"), none.alias("hazard_ratio"))
     tested = materialize(log_rank(surv, group, first, second).withColumn("hazard_ratio", _ratio()), "survival-test")
-    return rows.crossJoin(F.broadcast(tested.select(F.col("p_value").alias("log_rank_p_value"), "hazard_ratio")))  # one row
+    test = tested.select(F.struct(F.col("p_value").alias("log_rank_p_value"), "hazard_ratio")).scalar()  # one row
+    return rows.withColumn("_test", test).select(*rows.columns, "_test.*")

@@ -148,6 +148,13 @@ BINDINGS: dict[str, str | tuple[str, str]] = {
         """select vec_id as image_id, cast(unnest(range(len(embedding))) as int) as x, 0 as y,
                   cast(unnest(embedding) as double) as intensity from {embeddings}""",
     ),
+    # the same as square images of eight by eight
+    "square_pixels": (
+        """select vec_id as image_id, pos % 8 as x, cast(floor(pos / 8) as int) as y, cast(v as double) as intensity
+           from (select vec_id, posexplode(embedding) as (pos, v) from {embeddings})""",
+        """select vec_id as image_id, cast(pos % 8 as int) as x, cast(pos // 8 as int) as y, cast(v as double) as intensity
+           from (select vec_id, unnest(range(len(embedding))) as pos, unnest(embedding) as v from {embeddings})""",
+    ),
     "image_rois": """
         select vec_id as image_id, vec_id * 2 + k as roi_id, label % 8 as x1, 0 as y1, 31 + 32 * k as x2, 0 as y2
         from (select vec_id, label, 0 as k from {embeddings} union all select vec_id, label, 1 as k from {embeddings}) e""",
@@ -228,11 +235,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def spread(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Deal rows out to all cores when the input has fewer files than the session has cores, as a file with
-    one row group is one task. Data in many files passes through without a shuffle."""
+    """Deal rows out to all cores when the scan has fewer tasks than the session has cores, as a file with
+    one row group is one task. Data in many tasks passes through without a shuffle. The plan of the scan says how many."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     pruned = df.select(*columns)
-    return pruned if len(df.inputFiles()) >= cores else pruned.repartition(cores, *columns[:3])
+    return pruned if pruned.rdd.getNumPartitions() >= cores else pruned.repartition(cores, *columns[:3])
 
 
 def bind(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -270,4 +277,6 @@ def duck_sql(body: str) -> str:
     if not ctes:
         return plain
     head = ", ".join(f"{name} as ({text})" for name, text in ctes.items())
+    if plain.lower().startswith("with recursive "):
+        return f"with recursive {head}, {plain[15:]}"
     return f"with {head}, {plain[5:]}" if plain.lower().startswith("with ") else f"with {head} {plain}"

@@ -54,8 +54,8 @@ def fetch_expression_tpm(t):
 
 
 @query(
-    "expression_arrays", "gene:s sample_ids:l values:s",
-    """select gene, list(sample_id order by sample_id) as sample_ids,
+    "expression_arrays", "gene:s chunk:i sample_ids:l values:s",
+    """select gene, 0 as chunk, list(sample_id order by sample_id) as sample_ids,
               array_to_string(list(cast(value as bigint) order by sample_id), ' ') as values
        from {cohort_expr} where cohort = 'NATION_3' and tissue_type = 'normal' group by gene""",
 )
@@ -190,6 +190,28 @@ def log_rank(t):
     return S.log_rank(_grouped(t))
 
 
+@query(
+    "log_rank_groups", "groups:i chi_square:d6 degrees:i p_value:d6",
+    """with m as (select months, patient_id % 3 as g, count(*) as l, count(*) filter (where event) as d from {survival}
+                  where months is not null group by months, patient_id % 3),
+            t as (select distinct months from m),
+            r as (select t.months, sum(l) filter (where g = 0 and m.months >= t.months) as n0,
+                         sum(l) filter (where g = 1 and m.months >= t.months) as n1, sum(l) filter (where m.months >= t.months) as n,
+                         coalesce(sum(d) filter (where g = 0 and m.months = t.months), 0) as d0,
+                         coalesce(sum(d) filter (where g = 1 and m.months = t.months), 0) as d1,
+                         coalesce(sum(d) filter (where m.months = t.months), 0) as d
+                  from t cross join m group by t.months),
+            x as (select coalesce(n0, 0)::double / n as s0, coalesce(n1, 0)::double / n as s1, d0, d1, d::double as d,
+                         case when n > 1 then d::double * (n - d) / (n - 1) else 0 end as w from r),
+            v as (select sum(d0 - d * s0) as u0, sum(d1 - d * s1) as u1, sum(w * s0 * (1 - s0)) as v00, sum(w * s1 * (1 - s1)) as v11,
+                         -sum(w * s0 * s1) as v01 from x),
+            c as (select (v11 * u0 * u0 - 2 * v01 * u0 * u1 + v00 * u1 * u1) / (v00 * v11 - v01 * v01) as chi_square from v)
+       select 3 as groups, chi_square, 2 as degrees, exp(-chi_square / 2) as p_value from c""",
+)
+def log_rank_groups(t):
+    return S.log_rank_groups(t.survival.withColumn("grp", F.col("patient_id") % 3))
+
+
 @query(
     "survival_report",
     "grp:s median_survival_months:i num_samples:i num_events:i survival_rate:d6 log_rank_p_value:d6 hazard_ratio:d6",

@@ -101,6 +101,51 @@ def image_texture(t):
     return I.image_features(t.pixels, t.image_rois, "texture", low=-0.6, high=0.6, levels=8)
 
 
+@query(
+    "image_summary", "image_id:i pixels:i width:i height:i mean:d6 std:d6 min:d6 max:d6",
+    """select image_id, count(*) as pixels, max(x) - min(x) + 1 as width, max(y) - min(y) + 1 as height, avg(intensity) as mean,
+              stddev_samp(intensity) as std, min(intensity) as min, max(intensity) as max from {square_pixels} group by image_id""",
+)
+def image_summary(t):
+    return I.image_summary(t.square_pixels)
+
+
+@query(
+    "texture_2d", "image_id:i direction:s pairs:i contrast:d6 energy:d6 homogeneity:d6 correlation:d8",
+    """with g as (select image_id, x, y, greatest(least(floor((intensity + 0.6) / (0.6 - (-0.6)) * 8), 7), 0) as g from {square_pixels}),
+            s(direction, dx, dy) as (values ('0', 1, 0), ('90', 0, 1), ('45', 1, -1), ('135', 1, 1)),
+            pr as (select a.image_id, direction, a.g as i, b.g as j from g a cross join s
+                   join g b on b.image_id = a.image_id and b.x = a.x + dx and b.y = a.y + dy),
+            cell as (select image_id, direction, i, j, count(*)::double as c from
+                       (select image_id, direction, i, j from pr union all select image_id, direction, j, i from pr) q group by all),
+            m as (select image_id, direction, sum(c * i) / sum(c) as m, sum(c) as n from cell group by all)
+       select image_id, direction, any_value(n) / 2 as pairs, sum(c * (i - j) * (i - j)) / any_value(n) as contrast,
+              sum(c * c) / (any_value(n) * any_value(n)) as energy, sum(c / (1 + abs(i - j))) / any_value(n) as homogeneity,
+              case when sum(c * (i - m) * (i - m)) / any_value(n) > 1e-12
+                   then sum(c * (i - m) * (j - m)) / sum(c * (i - m) * (i - m)) end as correlation
+       from cell join m using (image_id, direction) group by image_id, direction""",
+)
+def texture_2d(t):
+    return I.texture_2d(t.square_pixels, low=-0.6, high=0.6, levels=8)
+
+
+@query(
+    "image_objects", "image_id:i area:i centroid_x:d6 centroid_y:d6 x1:i y1:i x2:i y2:i perimeter:i",
+    """with recursive p as (select image_id, x, y, y * 8 + x as k from {square_pixels} where intensity >= 0.05),
+            e as (select a.image_id, a.k as a, b.k as b from p a join p b on a.image_id = b.image_id and abs(a.x - b.x) + abs(a.y - b.y) = 1),
+            r(image_id, k, root) as (
+              select image_id, k, k from p union select r.image_id, e.b, r.root from r join e on e.image_id = r.image_id and e.a = r.k),
+            o as (select image_id, k, min(root) as root from r group by image_id, k),
+            n as (select image_id, a as k, count(*) as near from e group by image_id, a)
+       select image_id, count(*) as area, avg(x) as centroid_x, avg(y) as centroid_y, min(x) as x1, min(y) as y1, max(x) as x2, max(y) as y2,
+              sum(4 - coalesce(near, 0)) as perimeter
+       from p join o using (image_id, k) left join n using (image_id, k) group by image_id, root""",
+)
+def image_objects(t):
+    # tiles of three, so that objects of these small images cross borders
+    return I.image_objects(t.square_pixels, threshold=0.05, tile=3)
+
+
 @query(
     "image_morphology", "roi_id:i area:i centroid_x:d6 centroid_y:d6 major_axis:d6 minor_axis:d6",
     f"""with {_INSIDE} select roi_id, count(*) as area, avg(x) as centroid_x, avg(y) as centroid_y,
@@ -204,13 +249,17 @@ def kmer_counts(t):
 
 
 @query(
-    "embed_sequences", "seq_id:i dim:i total:i",
-    "select seq_id, 768 as dim, greatest(length(sequence) - 5, 0) as total from {sequences}",
+    "embed_sequences", "seq_id:i dim:i counts:l",
+    """with k as (select seq_id, substr(sequence, unnest(range(1, length(sequence) - 4)), 6) as kmer from {sequences}),
+            c as (select seq_id, ('0x' || substr(md5(kmer), 1, 8))::bigint % 768 as place, count(*) as n from k where length(kmer) = 6 group by 1, 2),
+            d as (select seq_id, list(cast(place as varchar) || ':' || cast(n as varchar) order by place) as counts from c group by seq_id)
+       select s.seq_id, 768 as dim, coalesce(d.counts, []) as counts from (select distinct seq_id from {sequences}) s left join d using (seq_id)""",
 )
 def embed_sequences(t):
+    """The whole vector, as its places that aren't zero."""
     out = K.embed_sequences(t.sequences)
-    total = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v)
-    return out.select("seq_id", F.size("embedding").alias("dim"), total.alias("total"))
+    shown = F.transform("embedding", lambda v, i: F.when(v > 0, F.concat(i.cast("string"), F.lit(":"), v.cast("bigint").cast("string"))))
+    return out.select("seq_id", F.size("embedding").alias("dim"), F.filter(shown, lambda c: c.isNotNull()).alias("counts"))
 
 
 @query(

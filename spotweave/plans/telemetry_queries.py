@@ -211,13 +211,12 @@ def dedup_requests_stream(t):
 
 @query(
     "pair_calls_stream", _PAIR_COLUMNS,
-    f"""with {_PAIRS}, mark as (select date_trunc('milliseconds', least((select max(ts) from {{calls}}), (select max(ts) from {{results}})))
+    f"""with {_PAIRS}, mark as (select date_trunc('milliseconds', greatest((select max(ts) from {{calls}}), (select max(ts) from {{results}})))
                                        - interval 1 hour as watermark)
-        select pairs.* from pairs cross join mark where matched or call_ts + interval 10 minutes < watermark""",
+        select pairs.* from pairs cross join mark where call_ts + interval 10 minutes < watermark""",
 )
 def pair_calls_stream(t):
-    paired = S.pair_calls_stream(_stream(t, "calls"), _stream(t, "results"), within="10 minutes")
-    return S.run_to_files(paired, "pairs")
+    return S.run_to_files(S.pair_calls_stream(_stream(t, "calls"), _stream(t, "results"), within_seconds=600), "pairs")
 
 
 @query(

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
-
+from spotweave.functions.checks import in_range
 from spotweave.operators.telemetry import TERMINAL
 from spotweave.session import fresh_path
 
@@ -64,22 +66,84 @@ def sessions_stream(events: DataFrame, gap: str = "30 minutes", delay: str = "1
     )
 
 
-def pair_calls_stream(calls: DataFrame, results: DataFrame, within: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """W3. Left outer stream-stream join by request id and time bound; both watermarks bound the state."""
-    left = calls.select("request_id", "tool", F.col("ts").alias("call_ts")).withWatermark("call_ts", delay)
-    right = results.select(
-        F.col("request_id").alias("answered"), F.col("ts").alias("result_ts"), "success"
-    ).withWatermark("result_ts", delay)
-    bound = (
-        (F.col("request_id") == F.col("answered"))
-        & (F.col("result_ts") >= F.col("call_ts"))
-        & (F.col("result_ts") <= F.col("call_ts") + F.expr(f"interval {within}"))
+_PAIR_STATE = "call_us long, tool string, answered boolean, result_us array<long>, success array<boolean>"
+_PAIR_ROWS = "request_id {}, tool string, call_us long, result_us long, success boolean"
+
+
+def _first_answer(within_us: int, retries_us: int):
+    """State of one request id: its first call, the results that may answer it, and whether it was told."""
+
+    def in_milliseconds(us: int) -> int:
+        return -(-us // 1000)
+
+    def handle(key, frames, state):
+        call, tool, told, at, success = state.get if state.exists else (None, None, False, [], [])
+        answers = dict(zip(at, success))
+        watermark = state.getCurrentWatermarkMs()
+        out = None
+        if state.hasTimedOut:
+            if told:
+                state.remove()
+                return
+            if call is None:  # results whose call can't come any more
+                answers = {t: ok for t, ok in answers.items() if in_milliseconds(t) >= watermark}
+                if not answers:
+                    state.remove()
+                    return
+            else:
+                first = min((t for t in answers if call <= t <= call + within_us), default=None)
+                ok = None if first is None else answers[first]
+                out = pd.DataFrame({"request_id": [key[0]], "tool": [tool], "call_us": [call], "result_us": pd.array([first], "Int64"), "success": pd.array([ok], "boolean")})
+                told, answers = True, {}
+        else:
+            for rows in frames:
+                if told:
+                    continue  # a call tried again, or one more result
+                mine = rows[rows["is_call"]]
+                if len(mine):
+                    first = mine.sort_values(["us", "tool"]).iloc[0]
+                    if call is None or (int(first["us"]), str(first["tool"])) < (call, str(tool)):
+                        call, tool = int(first["us"]), first["tool"]
+                for t, ok in zip(rows["us"][~rows["is_call"]], rows["success"][~rows["is_call"]]):
+                    # of results at one time a failure counts, as in a batch
+                    answers[int(t)] = min(answers.get(int(t), True), bool(ok))
+            if call is not None:
+                answers = {t: ok for t, ok in answers.items() if t <= call + within_us}
+        times = sorted(answers)
+        state.update((call, tool, told, times, [answers[t] for t in times]))
+        alarm = call + retries_us if told else call + within_us if call is not None else times[0]
+        state.setTimeoutTimestamp(max(in_milliseconds(alarm), watermark + 1))
+        if out is not None:
+            yield out
+
+    return handle
+
+
+def pair_calls_stream(
+    calls: DataFrame, results: DataFrame, within_seconds: int = 3600, delay: str = "1 hour", retries_seconds: int = 86_400
+) -> DataFrame:
+    """W3. Every call with its first result inside the time bound, as the batch form gives them.
+
+    A request is told once the watermark has passed its first call by the bound: by then no earlier call and no other answer
+    can come. Calls tried again within ``retries_seconds`` of the first count with it. ``delay`` covers how far rows of both
+    streams may be behind the newest row of either.
+    """
+    in_range("within_seconds", within_seconds, 0)
+    in_range("retries_seconds", retries_seconds, within_seconds)
+    none = lambda kind: F.lit(None).cast(kind)
+    asked = calls.select("request_id", "tool", none("boolean").alias("success"), "ts", F.lit(True).alias("is_call"))
+    answered = results.select("request_id", none("string").alias("tool"), "success", "ts", F.lit(False).alias("is_call"))
+    rows = asked.unionByName(answered).where("request_id is not null and ts is not null").withWatermark("ts", delay)
+    rows = rows.withColumn("us", F.unix_micros("ts"))
+    told = rows.groupBy("request_id").applyInPandasWithState(
+        _first_answer(within_seconds * 1_000_000, retries_seconds * 1_000_000),
+        _PAIR_ROWS.format(calls.schema["request_id"].dataType.simpleString()), _PAIR_STATE, "append", GroupStateTimeout.EventTimeTimeout,
     )
-    return left.join(right, bound, "left").select(
-        "request_id", "tool", "call_ts",
-        ((F.unix_micros("result_ts") - F.unix_micros("call_ts")) / 1e6).alias("duration_seconds"),
+    return told.select(
+        "request_id", "tool", F.timestamp_micros("call_us").alias("call_ts"),
+        ((F.col("result_us") - F.col("call_us")) / 1e6).alias("duration_seconds"),
         "success",
-        F.col("answered").isNotNull().alias("matched"),
+        F.col("result_us").isNotNull().alias("matched"),
     )
 
 

@@ -1,8 +1,10 @@
 """Cohorts, survival, mutations, clinical records and catalogs."""
 
 import math
+import random
 from datetime import date
 
+import numpy as np
 import pytest
 
 from spotweave.operators import catalogs as G
@@ -43,6 +45,50 @@ def test_compare_to_cohort(spark):
         T.compare_to_cohort(sample, cohort, test="anova")
 
 
+def test_arrays_in_chunks(spark):
+    rows = [(f"s{i:03d}", g, float(i)) for i in range(250) for g in "AB"]
+    arrays = T.expression_arrays(spark.createDataFrame(rows, "sample_id string, gene string, value double"), width=100).collect()
+    assert sorted((r.gene, r.chunk, len(r["values"])) for r in arrays) == [(g, c, n) for g in "AB" for c, n in ((0, 100), (1, 100), (2, 50))]
+    held = {(r.gene, r.chunk): r for r in arrays}
+    for c in range(3):
+        a, b = held["A", c], held["B", c]
+        assert a.sample_ids == b.sample_ids == sorted(a.sample_ids) and a["values"] == [float(s[1:]) for s in a.sample_ids]
+
+
+def plain_log_rank(rows):
+    labels = sorted({g for g, m, _ in rows if m is not None})
+    u, v = np.zeros(len(labels)), np.zeros((len(labels), len(labels)))
+    for t in sorted({m for _, m, e in rows if e and m is not None}):
+        n = np.array([sum(g == x and m is not None and m >= t for g, m, _ in rows) for x in labels], float)
+        d = np.array([sum(g == x and m == t and bool(e) for g, m, e in rows) for x in labels], float)
+        u += d - d.sum() * n / n.sum()
+        if n.sum() > 1:
+            w, s = d.sum() * (n.sum() - d.sum()) / (n.sum() - 1), n / n.sum()
+            v += w * (np.diag(s) - np.outer(s, s))
+    return float(u @ np.linalg.pinv(v, rcond=1e-10) @ u)
+
+
+@pytest.mark.parametrize("k", [2, 3, 5])
+def test_log_rank_of_many_groups(spark, k):
+    rng = random.Random(k)
+    rows = [(f"g{i % k}", round(rng.expovariate(0.1 * (1 + i % k)), 1), rng.random() < 0.7) for i in range(120)] + [("g0", None, True), (None, 3.0, True)]
+    got = S.log_rank_groups(spark.createDataFrame(rows, SURV)).first()
+    want = plain_log_rank([r for r in rows if r[0] is not None])
+    assert (got.groups, got.degrees) == (k, k - 1) and got.chi_square == pytest.approx(want, rel=1e-9)
+    if k == 3:
+        assert got.p_value == pytest.approx(math.exp(-want / 2))
+    if k == 2:
+        assert got.chi_square == pytest.approx(S.log_rank(spark.createDataFrame(rows, SURV)).first().chi_square)
+        with pytest.raises(ValueError):
+            S.log_rank_groups(spark.createDataFrame([("a", 1.0, True)], SURV))
+
+
+def test_log_rank_with_a_group_never_at_risk_with_others(spark):
+    rows = [("a", 1.0, True), ("a", 2.0, True), ("b", 1.0, True), ("b", 5.0, True), ("early", 0.1, False)]
+    got = S.log_rank_groups(spark.createDataFrame(rows, SURV)).first()
+    assert got.degrees == 1 and got.chi_square == pytest.approx(plain_log_rank(rows))
+
+
 def test_survival_curve(spark):
     rows = [("a", 1, True), ("a", 2, True), ("a", 2, False), ("a", 3, True), ("a", 4, True), ("a", None, True), ("b", 7, False)]
     curve = S.kaplan_meier(spark.createDataFrame(rows, SURV)).collect()

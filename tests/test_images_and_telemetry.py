@@ -213,11 +213,36 @@ def test_streamed_retries(spark, tmp_path):
     assert sorted(r.request_id for r in out.collect()) == [1, 2]
 
 
+CALLS, RESULTS = "request_id string, tool string, ts timestamp", "request_id string, ts timestamp, success boolean"
+
+
 def test_streamed_pairs(spark, tmp_path):
-    calls = stream(spark, tmp_path, "c", [[("a", "t", at(0)), ("b", "t", at(1))], [("z", "t", at(90_000))], [("y", "t", at(90_001))]], "request_id string, tool string, ts timestamp")
-    results = stream(spark, tmp_path, "r", [[("a", at(30), True)], [("z", at(90_002), False)], [("q", at(90_003), True)]], "request_id string, ts timestamp, success boolean")
-    got = {r.request_id: (r.duration_seconds, r.matched) for r in S.run_to_files(S.pair_calls_stream(calls, results, "1 minute", "1 minute"), "p").collect()}
-    assert got["a"] == (30.0, True) and got["b"] == (None, False) and got["z"] == (2.0, True)
+    calls = stream(spark, tmp_path, "c", [[("a", "t", at(0)), ("b", "t", at(1))], [("z", "t", at(90_000))], [("y", "t", at(90_100))]], CALLS)
+    results = stream(spark, tmp_path, "r", [[("a", at(30), True)], [("z", at(90_002), False)], [("q", at(90_200), True)]], RESULTS)
+    got = {r.request_id: (r.duration_seconds, r.matched) for r in S.run_to_files(S.pair_calls_stream(calls, results, 60, "1 minute"), "p").collect()}
+    assert got == {"a": (30.0, True), "b": (None, False), "z": (2.0, True)}  # y may still be answered
+
+
+def test_streamed_pairs_equal_the_batch(spark, tmp_path):
+    """Retries, floods of answers, answers before their calls, and rows that come late, over several micro-batches."""
+    rng = random.Random(12)
+    calls, results = [], []
+    for i in range(60):
+        first = rng.randrange(0, 3000)
+        calls += [(f"r{i}", rng.choice("st"), at(first + 400 * n)) for n in range(rng.choice([1, 1, 2, 3]))]
+        results += [(f"r{i}", at(first + rng.randrange(-50, 200)), rng.random() < 0.5) for _ in range(rng.choice([0, 1, 1, 3, 8]))]
+    results += [("nobody", at(100), True), ("r0", at(9_000), True)]
+    end = [("end", "t", at(40_000))]
+    rng.shuffle(calls)
+    rng.shuffle(results)
+    batches = lambda rows, tail: [rows[k::4] for k in range(4)] + [tail]
+    streamed = S.pair_calls_stream(
+        stream(spark, tmp_path, "bc", batches(calls, end), CALLS), stream(spark, tmp_path, "br", batches(results, [("end", at(40_001), True)]), RESULTS), 120, "4 hours"
+    )
+    got = sorted(map(tuple, S.run_to_files(streamed, "bp").collect()))
+    whole = W.pair_calls(spark.createDataFrame(calls + end, CALLS), spark.createDataFrame(results, RESULTS), 120).where("request_id <> 'end'")
+    columns = ["request_id", "tool", "call_ts", "duration_seconds", "success", "matched"]
+    assert got == sorted(map(tuple, whole.select(*columns).collect())) and len(got) == 60
 
 
 def test_streamed_sessions_and_stalls(spark, tmp_path):
