@@ -5,7 +5,8 @@ chooses one or two coordinates of the MinHash signatures and its sets branch by
 similar sets keep meeting while others part. A small node compares all its sets. A large one estimates its sets'
 similarity to some pivots, and the closest pairs are confirmed on whole sets. If all but a few of its sets hang
 together by links confirmed so far, those few are compared with every member and the node is done; else it
-branches on with all its members.
+branches on with all its members. The first few trees run alone: what they join is known to the others, which skip
+nodes within one component and compare only sets of different ones.
 Candidates are confirmed on whole shingle sets. The trees are DataFrame joins and group-bys over (set, node) rows of sixteen bytes; no
 node of unbounded size is gathered in one place.
 """
@@ -15,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -27,6 +29,8 @@ SHINGLE_WORDS = 5
 LEAST_PERCENT = 75
 COORDINATES = 64
 TREES = 16
+FIRST_TREES = 2  # trees whose links are known to all others
+FILTER_BITS = 1 << 25  # of the filter that texts pass before they are shuffled; false hits only cost work
 SMALL_NODE = 32  # such a node compares all its sets
 PIVOTS = 8  # sets of a larger node that all its sets are compared with
 NEAR = 0.7  # estimates from which a level confirms sets' closest pivots; other pairs wait for the end
@@ -129,6 +133,29 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _maybe_in(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose doc_id is not in ``wanted``, by a filter of a fixed size.
+
+    Its bits reach the driver as numbers of 64 each, FILTER_BITS / 64 at most, and travel with the tasks; only ids
+    go through Python.
+    """
+    place = lambda salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(FILTER_BITS))
+    bits = wanted.select(F.explode(F.array(place(1), place(2))).alias("p"))
+    words = bits.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words.collect():
+        table[r["w"]] = r["b"]
+    sent = rows.sparkSession.sparkContext.broadcast(table)
+
+    def held(one: pd.Series, two: pd.Series) -> pd.Series:
+        known, found = sent.value, np.ones(len(one), bool)
+        for p in (one.to_numpy(np.int64), two.to_numpy(np.int64)):
+            found &= (known[p >> 6] >> (p & 63)) & 1 == 1
+        return pd.Series(found)
+
+    return rows.where("doc_id is not null").where(F.pandas_udf(held, "boolean")(place(1), place(2)))
+
+
 class _WholeSets:
     """Whole shingle sets of the sets asked for, written once each, and the pairs that they confirm."""
 
@@ -147,7 +174,8 @@ class _WholeSets:
         if not new.limit(1).count():
             return
         owners = self.keys.join(new, "set_id").join(self.holders, "set_key").select("set_id", "set_key", "doc_id")
-        texts = self.rows.join(owners, "doc_id").select("set_id", "set_key", "text")
+        owners = materialize(owners, "set-owners")
+        texts = _maybe_in(self.rows, owners).join(owners, "doc_id").select("set_id", "set_key", "text")
         whole = materialize(texts.mapInArrow(_whole_sets, "set_id long, shingles array<long>"), "whole-sets")
         self.held = whole if self.held is None else self.held.unionByName(whole)
 
@@ -187,14 +215,14 @@ def _closest(pairs: DataFrame) -> DataFrame:
 
 
 def _against_pivots(inside: DataFrame) -> DataFrame:
-    """Members of large nodes with the two closest others of their node's pivots (``best``).
+    """Members of large nodes with the two closest of their node's pivots that aren't known to hang together with them (``best``).
 
     Pivots are drawn by hash, so that about twice as many as needed are gathered of a node of any size.
     """
     drawn = F.pmod(F.xxhash64("set_id", "node"), F.lit(1_000_003)) / F.lit(1_000_003.0) < F.lit(2.0 * PIVOTS) / F.col("m")
-    order = F.struct(F.xxhash64("node", "set_id").alias("h"), F.col("set_id").alias("id"), "signature")
+    order = F.struct(F.xxhash64("node", "set_id").alias("h"), F.col("set_id").alias("id"), "signature", "part")
     pivots = inside.where(drawn).groupBy("node").agg(F.slice(F.sort_array(F.collect_list(order)), 1, PIVOTS).alias("pivots"))
-    others = F.filter("pivots", lambda p: p["id"] != F.col("set_id"))
+    others = F.filter("pivots", lambda p: p["part"] != F.col("part"))
     seen = F.transform(others, lambda p: F.struct(_estimate(p["signature"], F.col("signature")).alias("near"), p["id"].alias("id")))
     best = F.slice(F.sort_array(F.coalesce(seen, F.array().cast("array<struct<near:double,id:bigint>>")), asc=False), 1, 2)
     return inside.join(pivots, "node", "left").select("set_id", "node", "signature", best.alias("best"))
@@ -221,55 +249,60 @@ def candidate_pairs(
     def keep(pairs: DataFrame) -> None:
         pairs.distinct().write.mode("append").parquet(path)
 
-    roots = F.array(*[F.xxhash64(F.lit("tree"), F.lit(t)) for t in range(trees)])
-    rows = sets.select("set_id", F.explode(F.flatten(F.transform(roots, lambda r: _branches(r, F.col("signature"))))).alias("node"))
-    for depth in range(DEEPEST + 1):
-        rows = materialize(rows, "paths")
-        nodes = materialize(rows.groupBy("node").agg(F.count("*").alias("m")).where("m > 1"), "nodes")
-        crowded = nodes.where(F.col("m") > small)
-        more = crowded.limit(1).count() > 0
-        if more:
-            inside = materialize(rows.join(crowded, "node").join(sets.select("set_id", "signature"), "set_id"), "crowded")
-        if more and depth < DEEPEST:
-            inside = materialize(_against_pivots(inside), "against-pivots")
-            best = inside.select("set_id", F.explode("best").alias("p")).where(F.col("p.near") >= PLAUSIBLE)
-            pairs = best.select("set_id", F.col("p.id").alias("other"), "p.near").select(*_pair("set_id", "other"), "near")
-            pairs = materialize(pairs.distinct(), "pivot-pairs")
-            if depth & (depth - 1) == 0:  # at levels ever farther apart, as each time reads all texts
-                whole.fetch(pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))))
-            if whole.held is not None:
-                chosen = materialize(_closest(whole.both_held(apart(pairs.where(F.col("near") >= NEAR)))), "closest-pivots")
-                links = whole.confirm(chosen, "pivot-links")
-                if links.limit(1).count():
-                    parts = _joined(parts, links)
-                pairs = apart(pairs.join(chosen, ["a", "b"], "left_anti"))
-            keep(pairs.select("a", "b"))
-        leaves = nodes.where(F.col("m") <= small).select("node")
-        members = _with_part(rows.join(leaves, "node"), parts, "set_id", "part").groupBy("node")
-        members = members.agg(F.sort_array(F.collect_list(F.struct("set_id", "part"))).alias("ids"))
-        after = lambda x, i: F.filter(F.slice("ids", i + 2, small), lambda y: y["part"] != x["part"])
-        met = F.flatten(F.transform("ids", lambda x, i: F.transform(after(x, i), lambda y: F.struct(x["set_id"].alias("a"), y["set_id"].alias("b")))))
-        keep(members.select(F.explode(met).alias("p")).select("p.*"))
-        if not more:
-            break
-        if depth == DEEPEST:
-            others = inside.select("node", F.col("set_id").alias("other"))
-            keep(apart(inside.join(others, "node").where("set_id < other").select(*_pair("set_id", "other"))))
+    for wave in (range(min(FIRST_TREES, trees)), range(FIRST_TREES, trees)):
+        if not len(wave):
             break
-        # a node is done if all but a few hang together by confirmed links; those few are compared with every member
-        inside = _with_part(inside, parts, "set_id", "part")
-        sizes = inside.groupBy("node", "part").agg(F.count("*").alias("c")).groupBy("node")
-        ways = sizes.agg(F.sum("c").alias("m"), F.max(F.struct("c", "part")).alias("most"))
-        ways = materialize(ways.select("node", F.col("most.part").alias("main"), (F.col("m") - F.col("most.c") <= small).alias("done")), "ways")
-        few = inside.join(ways.where("done"), "node").where("part <> main")
-        few = few.groupBy("node").agg(F.collect_list(F.struct("set_id", "signature", "part")).alias("few"))
-        alike = lambda f: (f["part"] != F.col("part")) & (_estimate(f["signature"], F.col("signature")) >= PLAUSIBLE)
-        met = inside.join(few, "node").select("set_id", F.explode(F.transform(F.filter("few", alike), lambda f: f["set_id"])).alias("other"))
-        keep(met.select(*_pair("set_id", "other")))
-        go_on = inside.join(ways.where(~F.col("done")).select("node"), "node")
-        # two branchings at a time: large nodes need several anyway
-        once = go_on.select("set_id", "signature", F.explode(_branches(F.col("node"), F.col("signature"))).alias("node"))
-        rows = once.select("set_id", F.explode(_branches(F.col("node"), F.col("signature"))).alias("node"))
+        roots = F.array(*[F.xxhash64(F.lit("tree"), F.lit(t)) for t in wave])
+        rows = sets.select("set_id", F.explode(F.flatten(F.transform(roots, lambda r: _branches(r, F.col("signature"))))).alias("node"))
+        for depth in range(DEEPEST + 1):
+            rows = materialize(rows, "paths")
+            named = _with_part(rows, parts, "set_id", "part")
+            nodes = named.groupBy("node").agg(F.count("*").alias("m"), F.min("part").alias("low"), F.max("part").alias("high"))
+            nodes = materialize(nodes.where("low <> high").select("node", "m"), "nodes")  # others hold one set or one component
+            crowded = nodes.where(F.col("m") > small)
+            more = crowded.limit(1).count() > 0
+            if more:
+                inside = materialize(named.join(crowded, "node").join(sets.select("set_id", "signature"), "set_id"), "crowded")
+            if more and depth < DEEPEST:
+                inside = materialize(_against_pivots(inside), "against-pivots")
+                best = inside.select("set_id", F.explode("best").alias("p")).where(F.col("p.near") >= PLAUSIBLE)
+                pairs = best.select("set_id", F.col("p.id").alias("other"), "p.near").select(*_pair("set_id", "other"), "near")
+                pairs = materialize(pairs.distinct(), "pivot-pairs")
+                if depth & (depth - 1) == 0:  # at levels ever farther apart, as each time reads all texts
+                    whole.fetch(pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))))
+                if whole.held is not None:
+                    chosen = materialize(_closest(whole.both_held(apart(pairs.where(F.col("near") >= NEAR)))), "closest-pivots")
+                    links = whole.confirm(chosen, "pivot-links")
+                    if links.limit(1).count():
+                        parts = _joined(parts, links)
+                    pairs = apart(pairs.join(chosen, ["a", "b"], "left_anti"))
+                keep(pairs.select("a", "b"))
+            leaves = nodes.where(F.col("m") <= small).select("node")
+            members = _with_part(rows.join(leaves, "node"), parts, "set_id", "part").groupBy("node")
+            members = members.agg(F.sort_array(F.collect_list(F.struct("set_id", "part"))).alias("ids"))
+            after = lambda x, i: F.filter(F.slice("ids", i + 2, small), lambda y: y["part"] != x["part"])
+            met = F.flatten(F.transform("ids", lambda x, i: F.transform(after(x, i), lambda y: F.struct(x["set_id"].alias("a"), y["set_id"].alias("b")))))
+            keep(members.select(F.explode(met).alias("p")).select("p.*"))
+            if not more:
+                break
+            if depth == DEEPEST:
+                others = inside.select("node", F.col("set_id").alias("other"))
+                keep(apart(inside.join(others, "node").where("set_id < other").select(*_pair("set_id", "other"))))
+                break
+            # a node is done if all but a few hang together by confirmed links; those few are compared with every member
+            inside = _with_part(inside, parts, "set_id", "part")
+            sizes = inside.groupBy("node", "part").agg(F.count("*").alias("c")).groupBy("node")
+            ways = sizes.agg(F.sum("c").alias("m"), F.max(F.struct("c", "part")).alias("most"))
+            ways = materialize(ways.select("node", F.col("most.part").alias("main"), (F.col("m") - F.col("most.c") <= small).alias("done")), "ways")
+            few = inside.join(ways.where("done"), "node").where("part <> main")
+            few = few.groupBy("node").agg(F.collect_list(F.struct("set_id", "signature", "part")).alias("few"))
+            alike = lambda f: (f["part"] != F.col("part")) & (_estimate(f["signature"], F.col("signature")) >= PLAUSIBLE)
+            met = inside.join(few, "node").select("set_id", F.explode(F.transform(F.filter("few", alike), lambda f: f["set_id"])).alias("other"))
+            keep(met.select(*_pair("set_id", "other")))
+            go_on = inside.join(ways.where(~F.col("done")).select("node"), "node")
+            # two branchings at a time: large nodes need several anyway
+            once = go_on.select("set_id", "signature", F.explode(_branches(F.col("node"), F.col("signature"))).alias("node"))
+            rows = once.select("set_id", F.explode(_branches(F.col("node"), F.col("signature"))).alias("node"))
     return apart(spark.read.schema("a long, b long").parquet(path).distinct()), parts
 
 
