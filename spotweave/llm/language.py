@@ -25,7 +25,7 @@ from spotweave.llm.common import hash_order, hash_share
 
 SAMPLE_TEXTS = 300  # labelled texts per language the field is fitted on
 SAMPLE_CHARS = 6000  # only texts up to this length are in the sample
-LANGUAGES = 64  # most languages a model holds, the most frequent
+LANGUAGES = 256  # most languages a model holds; more are an error, as a column of them is no longer one of languages
 LEXICON_WORDS = 2000  # most words of a language's lexicon
 FEATURES = 60_000  # most features of a model, the most frequent
 STRETCH = 32  # words of a training stretch
@@ -42,8 +42,8 @@ def word_features(word: str, lexicons: dict[str, str]) -> list[str]:
     shown = f"^{word}$"
     found = [f"w{word}"] if len(word) <= 12 else []
     found += [f"p{word[:n]}" for n in (1, 2, 3, 4) if len(word) >= n] + [f"s{word[-n:]}" for n in (1, 2, 3, 4) if len(word) >= n]
-    found += [f"n{shown[i : i + 2]}" for i in range(min(len(shown) - 1, 20))]
-    found += [f"n{shown[i : i + 3]}" for i in range(min(len(shown) - 2, 20))]
+    found += [f"n{shown[i : i + 2]}" for i in range(len(shown) - 1)]
+    found += [f"n{shown[i : i + 3]}" for i in range(len(shown) - 2)]
     if word in lexicons:
         found.append(f"l{lexicons[word]}")
     return found
@@ -262,13 +262,15 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Field:
     """Fit on a sample of ``labelled``: SAMPLE_TEXTS whole texts per language of at most SAMPLE_CHARS characters.
 
-    The sample follows a hash of doc_id. Rows without text or language teach nothing; of more than LANGUAGES
-    languages the most frequent are learned.
+    The sample follows a hash of doc_id. Rows without text or language teach nothing; more than LANGUAGES languages are an
+    error.
     """
     rows = labelled.where(
         F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.col(lang) != UNDETERMINED) & (F.length(text) <= SAMPLE_CHARS)
     ).select(F.col(text).alias("text"), F.col(lang).alias("lang"), hash_order(F.lit("lang"), doc_id).alias("order"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()}
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"the column {lang} holds more than {LANGUAGES} languages")
     if not counts:
         return fit_sample([])
     share = F.create_map(*[F.lit(x) for lang_, n in counts.items() for x in (lang_, min(1.0, 1.5 * SAMPLE_TEXTS / n + 0.001))])

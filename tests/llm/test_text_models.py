@@ -56,6 +56,16 @@ def test_languages_held_out_and_switched(spark):
     assert {r["_lang"] for r in language.identify(docs, nobody).select("_lang").collect()} == {"und"}
 
 
+def test_whole_words_and_too_many_languages(spark, monkeypatch):
+    found = language.word_features("x" * 40 + "qz", {})
+    assert "nqz$" in found and len([f for f in found if f[0] == "n"]) == 43 + 42
+    docs = spark.createDataFrame([(i, "some text", f"l{i}", "", "") for i in range(6)], DOCS)
+    monkeypatch.setattr(language, "LANGUAGES", 5)
+    with pytest.raises(ValueError, match="more than 5"):
+        language.fit(docs)
+    assert len(language.fit(docs.where("doc_id < 5")).langs) == 5
+
+
 def plain_features(text, weights, exceptions):
     """Every entry tried at every word, every phrase at every word."""
     words = toxicity._WORD.findall(toxicity.fold(text))
