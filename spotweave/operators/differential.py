@@ -6,13 +6,14 @@ expression table and two sample lists.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotweave import fixed_values as fv
 from spotweave.functions.checks import in_range, need_columns, one_of
 from spotweave.functions.numeric import clean_double, normal_two_sided, t_two_sided
-from spotweave.functions.running import running
+from spotweave.functions.running import exact_quantiles, running
 from spotweave.session import materialize
 
 
@@ -113,12 +114,8 @@ def size_factors(counts: DataFrame) -> DataFrame:
     )
 
 
-def de_negbin(counts: DataFrame, groups: DataFrame) -> DataFrame:
-    """D3. Negative-binomial Wald test on counts scaled by median-of-ratios size factors.
-
-    Simplified: per-gene moment dispersion within the groups, no shrinkage towards a trend. ``counts`` has one row per
-    (sample_id, gene), ``groups`` is ``sample_id, grp``; samples without a row for a gene count as zero.
-    """
+def _negbin_moments(counts: DataFrame, groups: DataFrame) -> DataFrame:
+    """(gene, base_mean, mu1, mu2, dispersion, _t) of counts scaled by size factors; ``_t`` has the group sizes."""
     factors = size_factors(counts)
     labelled = factors.join(groups.select("sample_id", "grp").where("grp in (1, 2)"), "sample_id")
     labelled = materialize(labelled, "size-factors")  # one row per sample
@@ -150,11 +147,15 @@ def de_negbin(counts: DataFrame, groups: DataFrame) -> DataFrame:
     dispersion = F.greatest(
         F.try_divide(F.col("_var") - F.col("base_mean") * inv, F.col("base_mean") * F.col("base_mean")), F.lit(1e-8)
     )
-    fitted = means.withColumn("dispersion", dispersion)
+    return means.withColumn("dispersion", dispersion)
+
+
+def _wald(fitted: DataFrame, dispersion: str) -> DataFrame:
+    """Adds ``log2_fold_change``, ``z_score`` and ``p_value``."""
+    n1, n2 = F.col("_t.n1"), F.col("_t.n2")
     pseudo = lambda m: F.greatest(F.col(m), F.lit(0.5))
     error = F.sqrt(
-        F.try_divide(1.0 / pseudo("mu1") + F.col("dispersion"), n1)
-        + F.try_divide(1.0 / pseudo("mu2") + F.col("dispersion"), n2)
+        F.try_divide(1.0 / pseudo("mu1") + F.col(dispersion), n1) + F.try_divide(1.0 / pseudo("mu2") + F.col(dispersion), n2)
     )
     scored = fitted.withColumns(
         {
@@ -162,12 +163,95 @@ def de_negbin(counts: DataFrame, groups: DataFrame) -> DataFrame:
             "z_score": F.try_divide(F.log(pseudo("mu1") / pseudo("mu2")), error),
         }
     )
-    return scored.select(
-        "gene", "base_mean", "dispersion", "log2_fold_change", "z_score",
-        normal_two_sided("z_score").alias("p_value"),
+    return scored.withColumn("p_value", normal_two_sided("z_score"))
+
+
+def de_negbin(counts: DataFrame, groups: DataFrame) -> DataFrame:
+    """D3. Negative-binomial Wald test on counts scaled by median-of-ratios size factors.
+
+    The dispersion is that of the gene's own moments; ``de_negbin_shrunk`` draws it towards a trend. ``counts`` has one row per
+    (sample_id, gene), ``groups`` is ``sample_id, grp``; samples without a row for a gene count as zero.
+    """
+    return _wald(_negbin_moments(counts, groups), "dispersion").select(
+        "gene", "base_mean", "dispersion", "log2_fold_change", "z_score", "p_value"
     )
 
 
+def trigamma(x: float) -> float:
+    """Second derivative of the logarithm of the gamma function, of a positive number."""
+    total = 0.0
+    while x < 12:
+        total, x = total + 1 / (x * x), x + 1
+    y = 1 / (x * x)
+    return total + 1 / x + y / 2 + y / x * (1 / 6 - y * (1 / 30 - y * (1 / 42 - y / 30)))
+
+
+TREND_TOLERANCE = 1e-6  # relative change of the trend at which its fit ends
+LEAST_DISPERSION = 1e-7  # genes with more take part in the trend
+TREND_OUTLIERS = (1e-4, 15.0)  # of a dispersion over the trend; genes outside don't take part
+LEAST_PRIOR_VARIANCE = 0.25
+OUTLIER_DEVIATIONS = 2.0  # a dispersion so many standard deviations above the trend stays as it is
+
+
+def dispersion_trend(genes: DataFrame) -> tuple[float, float]:
+    """(a0, a1) of the trend a0 + a1 / base_mean, a gamma regression by reweighted sums over the table of genes.
+
+    ``genes`` is written and has base_mean and dispersion. Without enough genes the trend is flat at their mean.
+    """
+    usable = genes.where(F.col("dispersion") > LEAST_DISPERSION)
+    a, m = F.col("dispersion"), 1.0 / F.col("base_mean")
+    start = usable.agg(F.avg(a).alias("a"), F.count("*").alias("n")).first()
+    if start["n"] < 3:
+        return (start["a"] or LEAST_DISPERSION), 0.0
+    a0, a1 = 0.1, 1.0
+    for _ in range(200):
+        fit = F.lit(a0) + F.lit(a1) * m
+        inside = (a / fit > TREND_OUTLIERS[0]) & (a / fit < TREND_OUTLIERS[1])
+        w = 1.0 / (fit * fit)
+        s = usable.where(inside).agg(
+            *[F.coalesce(F.sum(c), F.lit(0.0)).alias(n) for n, c in {"w": w, "m": w * m, "mm": w * m * m, "a": w * a, "am": w * a * m}.items()]
+        ).first()
+        size = s["w"] * s["mm"] - s["m"] * s["m"]
+        if size <= 1e-12 * s["w"] * s["mm"]:  # all genes of one mean
+            return (s["a"] / s["w"] if s["w"] > 0 else start["a"]), 0.0
+        b0, b1 = (s["mm"] * s["a"] - s["m"] * s["am"]) / size, (s["w"] * s["am"] - s["m"] * s["a"]) / size
+        if b0 <= 0:
+            b0, b1 = 1e-8, s["am"] / s["mm"]
+        elif b1 <= 0:
+            b0, b1 = s["a"] / s["w"], 0.0
+        change = (np.log(b0 / a0)) ** 2 + (np.log(max(b1, 1e-12) / max(a1, 1e-12))) ** 2
+        a0, a1 = b0, b1
+        if change < TREND_TOLERANCE:
+            return a0, a1
+    raise RuntimeError("the trend of dispersions did not settle")
+
+
+def de_negbin_shrunk(counts: DataFrame, groups: DataFrame) -> DataFrame:
+    """D3. The negative-binomial test on dispersions drawn towards their trend over the mean.
+
+    The logarithm of a gene's dispersion is weighed with that of the trend by their variances: that of the estimate follows from
+    the number of samples, that of genes around the trend from the median absolute deviation, less the former. A gene far
+    above the trend keeps its own. Adds ``trend`` and ``shrunk`` to the columns of ``de_negbin``.
+    """
+    genes = materialize(_negbin_moments(counts, groups), "gene-dispersions")
+    a0, a1 = dispersion_trend(genes)
+    trend = F.lit(a0) + F.lit(a1) / F.col("base_mean")
+    away = genes.withColumn("trend", trend).withColumn("away", F.log("dispersion") - F.log("trend"))
+    away = materialize(away, "gene-trends")
+    usable = away.where(F.col("dispersion") > LEAST_DISPERSION)
+    middle = exact_quantiles(usable, [], "away", {"m": 0.5}).first()
+    centre = middle["m"] if middle is not None and middle["m"] is not None else 0.0
+    deviation = exact_quantiles(usable.withColumn("away", F.abs(F.col("away") - F.lit(centre))), [], "away", {"m": 0.5}).first()
+    spread = (deviation["m"] or 0.0) / 0.6744897501960817 if deviation is not None else 0.0
+    sizes = genes.select("_t.n1", "_t.n2").limit(1).first()
+    own = trigamma(max(0.5, (sizes["n1"] + sizes["n2"] - 2) / 2)) if sizes is not None else 1.0
+    prior = max(LEAST_PRIOR_VARIANCE, spread * spread - own)
+    weighed = F.exp((F.log("dispersion") / own + F.log("trend") / prior) / (1 / own + 1 / prior))
+    outlier = F.col("away") > OUTLIER_DEVIATIONS * float(np.sqrt(prior + own))
+    shrunk = away.withColumn("shrunk", F.when(outlier, F.col("dispersion")).otherwise(weighed))
+    return _wald(shrunk, "shrunk").select("gene", "base_mean", "dispersion", "trend", "shrunk", "log2_fold_change", "z_score", "p_value")
+
+
 def fold_change(obs: DataFrame, pseudo: float = 1.0) -> DataFrame:
     """D4. log2((mean1 + c) / (mean2 + c)) and the mean over all observations."""
     in_range("pseudo", pseudo, 0)
@@ -269,7 +353,7 @@ def differential_expression(
         need_columns(obs, "spot_id")
         counts = obs.groupBy(F.col("spot_id").alias("sample_id"), "gene").agg(F.sum("value").alias("count"))
         groups = obs.select(F.col("spot_id").alias("sample_id"), "grp").distinct()
-        tested = de_negbin(counts, groups).select("gene", "base_mean", "log2_fold_change", "p_value")
+        tested = de_negbin_shrunk(counts, groups).select("gene", "base_mean", "log2_fold_change", "p_value")
     else:
         test = de_wilcoxon(obs) if test_method == "wilcoxon" else de_ttest(obs)
         tested = fold_change(obs, pseudo).join(test.select("gene", "p_value"), "gene")

@@ -89,6 +89,22 @@ def de_negbin(t):
     return D.de_negbin(t.nb_counts, t.nb_groups)
 
 
+@query("de_negbin_shrunk", "gene:i base_mean:d4 dispersion:d6 trend:d6 shrunk:d6 log2_fold_change:d6 z_score:d4 p_value:d6")
+def de_negbin_shrunk(t):
+    return D.de_negbin_shrunk(t.nb_counts, t.nb_groups)
+
+
+@query("differential_t_test", "gene:i base_mean:d6 log2_fold_change:d6 p_value:d6 p_adj:d6 significant:b")
+def differential_t_test(t):
+    return D.differential_expression(t.de_obs, "t_test")
+
+
+@query("differential_deseq2", "gene:i base_mean:d4 log2_fold_change:d6 p_value:d6 p_adj:d6 significant:b")
+def differential_deseq2(t):
+    rows = t.nb_counts.join(t.nb_groups, "sample_id")
+    return D.differential_expression(rows.select(F.col("sample_id").alias("spot_id"), "gene", "grp", F.col("count").alias("value")), "deseq2")
+
+
 @query("fold_change", "gene:i base_mean:d6 log2_fold_change:d6", f"with {_FOLD} select * from fold")
 def fold_change(t):
     return D.fold_change(t.de_obs)
