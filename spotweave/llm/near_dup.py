@@ -5,8 +5,8 @@ chooses one or two coordinates of the MinHash signatures and its sets branch by
 similar sets keep meeting while others part. A small node compares all its sets. A large one estimates its sets'
 similarity to some pivots, and the closest pairs are confirmed on whole sets. If all but a few of its sets hang
 together by links confirmed so far, those few are compared with every member and the node is done; else it
-branches on with all its members. The first few trees run alone: what they join is known to the others, which skip
-nodes within one component and compare only sets of different ones.
+branches on with all its members. Nodes within one known component are skipped and pivots compared with sets of
+other components only; trees can run in two waves, so that the second knows what the first has joined.
 Candidates are confirmed on whole shingle sets. The trees are DataFrame joins and group-bys over (set, node) rows of sixteen bytes; no
 node of unbounded size is gathered in one place.
 """
@@ -29,7 +29,7 @@ SHINGLE_WORDS = 5
 LEAST_PERCENT = 75
 COORDINATES = 64
 TREES = 16
-FIRST_TREES = 2  # trees whose links are known to all others
+FIRST_TREES = TREES  # trees of a first wave, whose links are known to all others; each wave costs jobs of its own
 FILTER_BITS = 1 << 25  # of the filter that texts pass before they are shuffled; false hits only cost work
 SMALL_NODE = 32  # such a node compares all its sets
 PIVOTS = 8  # sets of a larger node that all its sets are compared with
